@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.llm.exact_dedup import exact_dedup
+from keyweave.llm.minhash import near_duplicates
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -23,5 +28,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_exact_dedup": op3_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_dedup": op1_minhash_dedup, "op3_exact_dedup": op3_exact_dedup}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
