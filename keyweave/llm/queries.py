@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keyweave.llm.bpe import with_ids, with_text
 from keyweave.llm.exact_dedup import exact_dedup
 from keyweave.llm.minhash import near_duplicates
+from keyweave.llm.packing import packed
+from keyweave.llm.simple8b import coded, digests
+
+#: The tokenizer file of the contracts; the operators take any byte-level one.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +35,25 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_dedup": op1_minhash_dedup, "op3_exact_dedup": op3_exact_dedup}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(coded(_read(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = with_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
+    return with_text(ids, TOKENIZER).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_token_files": op8_token_files,
+    "op10_bpe": op10_bpe,
+}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
