@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keyweave.llm import quality_rules, rule_ensemble
 from keyweave.llm.bpe import with_ids, with_text
 from keyweave.llm.chat import formatted, loss_texts, parsed
 from keyweave.llm.exact_dedup import exact_dedup
@@ -14,6 +15,7 @@ from keyweave.llm.html_text import extracted
 from keyweave.llm.minhash import near_duplicates
 from keyweave.llm.packing import packed
 from keyweave.llm.simple8b import coded, digests
+from keyweave.llm.training import held_out
 from keyweave.llm.urls import judged
 
 #: The tokenizer file of the contracts; the operators take any byte-level one.
@@ -42,6 +44,12 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, _read(spark, sf_dir, "labels"))
+    return rule_ensemble.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 #: The conversation that the contract adds: texts that look like another template's control strings.
 EXTRA_TURNS = "SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)"
 
@@ -86,6 +94,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(coded(_read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, _read(spark, sf_dir, "labels"))
+    return quality_rules.judged(docs, model).drop("text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = with_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
     return with_text(ids, TOKENIZER).select(
@@ -96,10 +110,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_html_text": op2_html_text,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
