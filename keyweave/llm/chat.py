@@ -10,7 +10,7 @@ TURN, SAYS, JOIN, END = "<|turn|>", "<|says|>", "<|join|>", "<|end|>"
 
 def escaped(text: str) -> str:
     """SQL: one backslash more between every "<" and the "|" behind it, so no control string is left; reversible."""
-    return rf"regexp_replace({text}, r'<(\\*)\|', r'<$1\\\\|')"
+    return rf"regexp_replace({text}, r'<(\\*)\|', r'<$1\\|')"
 
 
 def unescaped(text: str) -> str:
