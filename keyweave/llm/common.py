@@ -31,6 +31,20 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has (names differ by more than case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, names: list[str]) -> list[str]:
+    """Columns of df that are not named like any of names, whatever the case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a shared path that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

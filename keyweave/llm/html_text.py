@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keyweave.llm.common import fresh, without
+
 # Frequent function words of English, German, French, Spanish, Italian and Portuguese.
 STOP_WORDS = frozenset("""
 the of and to in a is that it for was on are as with his they at be this from have or by had not but what all were when
@@ -233,8 +235,8 @@ def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -
 
     A column that is named like out_col is replaced; null html gives an empty text.
     """
-    keep = [c for c in pages.columns if c not in (html_col, out_col)]
-    rows = pages.select(*[pages[c] for c in keep], pages[html_col].cast("string").alias("_html"))
+    keep = without(pages, [html_col, out_col])
+    rows = pages.select(*[pages[c] for c in keep], pages[html_col].cast("string").alias(fresh(pages, "_html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from keyweave.llm.common import fresh, without
 from keyweave.llm.training import labelled
 
 #: Buckets of word and of character n-grams.
@@ -151,8 +152,8 @@ def judged(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col
     are; columns named like the results are replaced. No shuffle.
     """
     new = [*_OUT, "base_failed", "probability", "kept"]
-    keep = [c for c in docs.columns if c not in new]
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text"))
+    keep = without(docs, new)
+    rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(fresh(docs, "_text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 2**17 + 2**15 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

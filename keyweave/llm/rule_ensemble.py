@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keyweave.llm.common import without
 from keyweave.llm.training import labelled
 
 #: Labelled rows that teach at most (a documented bound; everything is scored).
@@ -167,6 +168,10 @@ def scored(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFram
     Only the text counts; null and empty texts are scored by the statistics of an empty text. All rows and columns
     stay; columns named score or predicted are replaced. JVM expressions in one scan, no shuffle.
     """
-    stats = {f"_s_{k}": c for k, c in statistics(F.col(text_col)).items()}
-    out = docs.drop("score", "predicted").withColumns(stats).withColumn("score", model.column("_s_"))
+    text = docs[text_col]
+    prefix = "_s_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    stats = {f"{prefix}{k}": c for k, c in statistics(text).items()}
+    out = docs.select(*without(docs, ["score", "predicted"]), *[c.alias(k) for k, c in stats.items()]).withColumn("score", model.column(prefix))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop(*stats)

@@ -10,6 +10,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from keyweave.llm.common import without
+
 # Example host and path words of either class. The unigram and naive Bayes models are trained on them.
 BLOCK_SITES = """
 casino win, online casino bonus, free bets, best bets, sports betting tips, poker bonus, slot jackpot, lucky slots,
@@ -106,12 +108,13 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "
     hosts and paths reach Python, and nothing shuffles, so a host with a third of all pages does no harm. Columns
     named like the results are replaced; null urls have empty parts and are allowed by the model; repeated rows stay.
     """
-    host, path = url_parts(F.col(url_col))
-    out = pages.drop("host", "path", "rule", "block_score", "verdict").withColumns({"host": host, "path": path})
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
+    host, path = url_parts(pages[url_col])
+    keep = without(pages, ["host", "path", "rule", "block_score", "verdict"])
+    out = pages.select(*keep, host.alias("host"), path.alias("path"))
+    rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
-    out = out.withColumn("rule", rule).withColumn("_by_rule", verdict).withColumn("block_score", _scores("host", "path"))
+        rule, by_rule = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(by_rule)
+    out = out.select(*keep, "host", "path", rule.alias("rule"), by_rule.alias("verdict"), _scores("host", "path").alias("block_score"))
     model = F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("_by_rule", model)).drop("_by_rule")
+    return out.withColumn("verdict", F.coalesce("verdict", model))
