@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,6 +23,8 @@ K = 1 << BUCKET_BITS
 BANDS, ROWS = 88, 8
 #: A pair goes to the exact check unless its estimate lies so many standard errors below the threshold.
 SIGMAS = 5.5
+#: Documents of a bucket whose unconnected pairs are rows; more are compared in blocks of about BLOCK documents.
+CROWD, BLOCK = 8, 512
 
 
 def _tables():
@@ -122,6 +125,44 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def joined(sets: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that connect different parts: an exact prefix-filter join of one block of sets.
+
+    Elements are ordered rarest first. Two sets that reach the threshold share an element of a short prefix, and
+    where it stands bounds their overlap; what passes is compared in full. Pairs already connected are skipped.
+    """
+    values, inverse, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(values), np.int64)
+    place[np.lexsort((values, freq))] = np.arange(len(values))
+    ranked = [np.sort(x) for x in np.split(place[inverse], np.cumsum([len(s) for s in sets])[:-1])]
+    head: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    index: dict[int, list[tuple[int, int]]] = {}
+    links = []
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n, seen = len(ranked[x]), set()
+        least = -(-percent * n // 100)
+        for i, token in enumerate(ranked[x][: n - least + 1].tolist()):
+            for y, j in index.get(token, ()):
+                if y in seen:
+                    continue
+                seen.add(y)
+                m = len(ranked[y])
+                if m < least or 1 + min(n - i - 1, m - j - 1) < -(-percent * (n + m) // (100 + percent)) or top(parts[x]) == top(parts[y]):
+                    continue
+                if similar(ranked[x], ranked[y], percent):
+                    links.append((x, y))
+                    head[top(parts[x])] = top(parts[y])
+        for j, token in enumerate(ranked[x][: n - -(-2 * percent * n // (100 + percent)) + 1].tolist()):
+            index.setdefault(token, []).append((x, j))
+    return links
+
+
 _FEATURES = "doc_id long, n_shingles long, fp binary, sketch binary, lead array<long>, lead_n array<int>, member array<long>, links array<long>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary()), ("lead", pa.list_(pa.int64())),
                     ("lead_n", pa.list_(pa.int32())), ("member", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
@@ -250,6 +291,43 @@ def components(links: DataFrame, base: str) -> DataFrame:
             remove(spark, f"{base}/{old}")
 
 
+def _block_join(n: int, percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, parts = rows["id"].tolist(), rows["c"].tolist()
+        found = joined([shingle_set(words_of(t), n) for t in rows["text"]], parts, percent)
+        return pd.DataFrame([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _crowds(placed: DataFrame, per: DataFrame, crowded: DataFrame, docs: DataFrame, n: int, percent: int, base: str) -> DataFrame:
+    """Links between different components inside crowded buckets, without a row for each pair.
+
+    Components that meet in a crowded bucket form a crowd. A crowd is dealt into blocks of about BLOCK documents, a
+    component that fills blocks alone into blocks of its own; each pair of blocks that holds more than one component
+    is one task with an exact join. Documents of one component are never compared, so rows grow with a crowd's
+    size times the blocks of the components it isn't part of.
+    """
+    meet = per.join(crowded, "key").where("c <> big").select(F.col("big").alias("a"), F.col("c").alias("b")).distinct()
+    crowd = stored(components(meet, f"{base}/crowds").select(F.col("doc_id").alias("c"), F.col("root").alias("g")), f"{base}/crowd")
+    members = placed.join(crowded.select("key"), "key", "left_semi").select("id", "c").distinct().join(crowd, "c", "left").withColumn("g", F.coalesce("g", "c"))
+    members = stored(members, f"{base}/members")
+    sizes = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.where(F.col("n") < BLOCK).groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("small"))
+    sizes = sizes.join(small, "g", "left").select("c", "n", "small")
+    alone = F.col("n") >= BLOCK
+    block = F.when(alone, F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))).otherwise(F.pmod(F.xxhash64("c"), F.col("small")))
+    dealt = stored(members.join(sizes, "c").select("g", "id", "c", block.alias("block"), F.when(alone, F.col("c")).alias("pure")), f"{base}/dealt")
+    blocks = dealt.select("g", "block", "pure").distinct()
+    left, right = blocks.toDF("g", "l", "pl"), blocks.toDF("g", "r", "pr")
+    pairs = left.join(right, "g").where("l <= r and not coalesce(pl = pr, false)").select("g", "l", "r")
+    into = pairs.select("g", F.col("l").alias("block"), "l", "r").union(pairs.where("l <> r").select("g", "r", "l", "r"))
+    texts = prefiltered(docs, "doc_id", dealt.select("id")).select(F.col("doc_id").alias("id"), "text")
+    rows = dealt.select("g", "id", "c", "block").join(texts, "id").join(into, ["g", "block"])
+    return rows.groupBy("g", "l", "r").applyInPandas(_block_join(n, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id that links reach), kept.
 
@@ -259,7 +337,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        checked at once; the band index goes to the shared folder.
     2. Across batches each bucket links its members to its smallest one. Links give components.
     3. Every remaining pair of one bucket that lies in two components is checked too, so nothing that shares a
-       band is left out; pairs already connected need no check.
+       band is left out; pairs already connected need no check. In buckets of up to CROWD documents these are
+       pairs; larger ones are joined block by block (_crowds).
     Null or blank texts and null ids are linked with nothing; a null id has a null component_id and stays. Rows
     that repeat an id share a component. Other columns are ignored; an empty table gives an empty result.
     """
@@ -280,13 +359,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     root = components(links, f"{base}/comp1")
 
     placed = live.select("id", "key").join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("c"))
+    placed = stored(placed, f"{base}/placed")
     per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", "k").alias("big")).where("cs > 1").select("key", "big")
-    split = stored(placed.join(mixed, "key"), f"{base}/mixed")
-    few = split.where("c <> big").select("key", F.col("id").alias("i"), F.col("c").alias("ci"))
-    cross = few.join(split, "key").where("c <> ci and (c = big or i < id)").select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("rows"), F.max_by("c", "k").alias("big")).where("cs > 1")
+    mixed = stored(mixed, f"{base}/mixed")
+    split = placed.join(mixed.where(F.col("rows") <= CROWD).select("key"), "key", "left_semi")
+    cross = split.toDF("a", "key", "ca").join(split.toDF("b", "key", "cb"), "key").where("ca <> cb and a < b").select("a", "b").distinct()
     cross = stored(cross, f"{base}/cross")
-    more = _links(cross, feats, docs, n, percent, f"{base}/two")
+    few = _links(cross, feats, docs, n, percent, f"{base}/two")
+    crowds = _crowds(placed, per, mixed.where(F.col("rows") > CROWD).select("key", "big"), docs, n, percent, base)
+    more = stored(few.union(crowds), f"{base}/more")
     if not more.isEmpty():
         root = components(root.select(F.col("root").alias("a"), F.col("doc_id").alias("b")).union(more), f"{base}/comp2")
     out = feats.select("doc_id", "n_shingles").join(root, "doc_id", "left")
