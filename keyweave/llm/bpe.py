@@ -4,27 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyweave.llm.tokens import _ENCODERS, Encoder
+from keyweave.llm.tokens import _ENCODERS, Encoder, byte_chars
 
 #: Rows taken through Python at once; only bounds memory.
 SLICE = 256
 _PAIRS_KEPT = 1 << 20
 
 
-@lru_cache(1)
-def byte_chars() -> dict[str, int]:
-    """Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256, 257, ..."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Trie:
     """Encodes distinct words together, each shared prefix once.
 

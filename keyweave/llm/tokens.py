@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -14,7 +15,15 @@ LETTER, DIGIT, SPACE, OTHER, NEW = range(5)
 #: Contraction tails that end a word of their own behind an apostrophe (fixed by the byte-level format).
 TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters taken at once, and words remembered per worker process; both only bound memory.
-CHUNK_CHARS, CACHE_WORDS = 1 << 20, 1 << 20
+CHUNK_CHARS, CACHE_WORDS = 1 << 20, 1 << 18
+
+
+@lru_cache(1)
+def byte_chars() -> dict[str, int]:
+    """Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256, 257, ..."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Splitter:
@@ -133,17 +142,13 @@ def library_encoder(path: str) -> Encoder:
     """An Encoder whose words are encoded by the tokenizers library's own model; one for each worker process."""
     if ("library", path) not in _ENCODERS:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        model = tokenizer.model
+        shown = str.maketrans({chr(b): c for c, b in byte_chars().items()})
 
         def encode_words(words: list[str]) -> list[bytes]:
-            # One pre-tokenized sequence a call: each word is cut alone, as it stands in its text.
-            got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            at = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-            raw = ids.tobytes()
-            return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+            # A pre-tokenized word in the byte-level alphabet is what the library hands to its own model.
+            form = (w.encode().decode("latin-1").translate(shown) for w in words)
+            return [b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w)) for w in form]
 
         _ENCODERS["library", path] = Encoder(path, encode_words)
     return _ENCODERS["library", path]
