@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("rows"), F.max_by("c", "k").alias("big")).where("cs > 1")
     mixed = stored(mixed, f"{base}/mixed")
-    split = placed.join(mixed.where(F.col("rows") <= CROWD).select("key"), "key", "left_semi")
+    split = placed.join(mixed.where(F.col("rows") <= CROWD).select("key"), "key", "left_semi").select("id", "key", "c")
     cross = split.toDF("a", "key", "ca").join(split.toDF("b", "key", "cb"), "key").where("ca <> cb and a < b").select("a", "b").distinct()
     cross = stored(cross, f"{base}/cross")
     few = _links(cross, feats, docs, n, percent, f"{base}/two")

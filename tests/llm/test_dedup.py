@@ -58,6 +58,23 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == brute_components(rows, n)
 
 
+def test_chains_equal_brute_force(spark):
+    """Neighbours of a chain are similar, its ends are not: most links join documents with other leaders."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(6):
+        w = [word() for _ in range(70)]
+        for _ in range(30):
+            at = r.randrange(66)
+            w[at : at + 3] = [word() for _ in range(3)]
+            rows.append(" ".join(w))
+    ids = r.sample(range(1000), len(rows))
+    rows = list(zip(ids, rows, strict=True))
+    got = {x.doc_id: x.component_id for x in mh.near_duplicates(docs(spark, rows).repartition(9), 4).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_components(rows, 4).items()}
+
+
 def test_crowds_equal_brute_force(spark, monkeypatch):
     """Every mixed bucket goes through blocks, and blocks are tiny."""
     monkeypatch.setattr(mh, "CROWD", 1)
