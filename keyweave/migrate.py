@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import IntEnum
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyweave import checks
 from keyweave.metrics import NoopSink, NoThrottle, Progress, Sink, Throttle, chunk_metrics, report, wait_open
@@ -41,6 +42,24 @@ class SchemaDrift(RuntimeError):
     """The source's schema changed during the run."""
 
 
+def statement_text(statement: str = "", table: str = "", alter: str = "") -> str:
+    """The statement to run: given whole, or as a table and its ALTER clauses; never both."""
+    if bool(statement) == bool(table or alter) or bool(table) != bool(alter):
+        raise ValueError("give a statement, or a table and its alter clauses")
+    return statement or f"ALTER TABLE `{table}` {alter.strip()}"
+
+
+def pass_through(spark: SparkSession, sql: str) -> DataFrame:
+    """CREATE, DROP and RENAME TABLE run as they are in the session's catalog; an ALTER is none of them."""
+    found = parse(sql)
+    if found.kind == "alter":
+        raise ValueError("an ALTER is migrated")
+    if found.kind == "rename":
+        old, new = re.split(r"\s+TO\s+", re.sub(r"(?i)^\s*RENAME\s+TABLE\s+", "", found.text), flags=re.I)
+        return spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+    return spark.sql(found.text)
+
+
 @dataclass
 class Migration:
     """One ALTER of a stored table.
@@ -106,6 +125,7 @@ class Migration:
         target = self.store.read(shadow)
         target = self._drain(target, key)
         self.state = State.ANALYZE
+        self.stats = target.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key[0]).alias("min_key"), F.max(key[0]).alias("max_key")).first().asDict()
         if self.checksum or adds_unique(self.statement) or self.resumed:
             self.state = State.CHECKSUM
             columns = [c for c in shared_columns(self.new_table.stored_columns, self.table.stored_columns)]

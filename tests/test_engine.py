@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from keyweave import checks, registry
 from keyweave.metrics import LagThrottle, LogSink, NoThrottle, chunk_metrics, report, wait_open
-from keyweave.migrate import Migration, State
+from keyweave.migrate import Migration, State, pass_through, statement_text
 from keyweave.model import Bound, Chunk, TableDef
 from keyweave.plans.ddl import UnsupportedStatement, evolve, metadata_only, parse, spark_type
 from keyweave.sources.feed import position_available
@@ -140,6 +140,19 @@ def test_metadata_path_copies_nothing(spark):
     assert Migration(s, TABLE, "ALTER TABLE t DROP INDEX i").run() == "metadata" and s.current() == before
 
 
+def test_statements_as_they_are(spark):
+    pass_through(spark, "CREATE TABLE kw_a (x INT) USING parquet")
+    pass_through(spark, "RENAME TABLE kw_a TO kw_b")
+    assert spark.catalog.tableExists("kw_b") and not spark.catalog.tableExists("kw_a")
+    pass_through(spark, "DROP TABLE kw_b")
+    with pytest.raises(ValueError):
+        pass_through(spark, "ALTER TABLE t ADD x INT")
+    assert statement_text(table="t", alter=" DROP x ") == "ALTER TABLE `t` DROP x"
+    for bad in ({}, {"statement": "s", "table": "t", "alter": "a"}, {"table": "t"}):
+        with pytest.raises(ValueError):
+            statement_text(**bad)
+
+
 def test_position(spark):
     f = spark.range(5, 9).toDF("seq")
     assert position_available(f, 4) and not position_available(f, 3) and not position_available(f.limit(0), 1)
