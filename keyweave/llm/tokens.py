@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -114,23 +115,46 @@ class Splitter:
         return [[x if x[0] == "id" else ("words", bounds[x[1]], bounds[x[1] + 1]) for x in plan] for plan in pending], words
 
 
+class _Known(dict):
+    """Words encoded one by one where they are first met."""
+
+    def __init__(self, encode_word: Callable[[str], bytes]):
+        super().__init__()
+        self.encode_word = encode_word
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        made = self[word] = self.encode_word(word)
+        return made
+
+
 class Encoder:
-    """texts -> little-endian unsigned 32-bit ids. encode_words gives the id bytes of distinct words."""
+    """texts -> little-endian unsigned 32-bit ids.
+
+    encode_words gives the id bytes of distinct words together, or encode_word those of one.
+    """
 
-    def __init__(self, path: str, encode_words: Callable[[list[str]], list[bytes]]):
+    def __init__(self, path: str, encode_words: Callable[[list[str]], list[bytes]] | None = None, encode_word: Callable[[str], bytes] | None = None):
         self.splitter, self.encode_words = Splitter(path), encode_words
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = _Known(encode_word) if encode_word else {}
+
+    def _parts(self, words: list[str]) -> list[bytes]:
+        if not self.encode_words:
+            return list(map(self.cache.__getitem__, words))
+        parts = list(map(self.cache.get, words))
+        if None in parts:
+            new = list({w for w, p in zip(words, parts, strict=True) if p is None})
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()
+            found = dict(zip(new, self.encode_words(new), strict=True))
+            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            self.cache.update(found)
+        return parts
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for plans, words in self.splitter.words(t or "" for t in texts):
-            parts = list(map(self.cache.get, words))
-            if None in parts:
-                new = list({w for w, p in zip(words, parts, strict=True) if p is None})
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                found = dict(zip(new, self.encode_words(new), strict=True))
-                parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-                self.cache.update(found)
+            parts = self._parts(words)
             for plan in plans:
                 yield b"".join(b"".join(parts[x[1] : x[2]]) if x[0] == "words" else x[1].to_bytes(4, "little") for x in plan)
 
@@ -145,10 +169,10 @@ def library_encoder(path: str) -> Encoder:
         model = tokenizer.model
         shown = str.maketrans({chr(b): c for c, b in byte_chars().items()})
 
-        def encode_words(words: list[str]) -> list[bytes]:
+        def encode_word(word: str) -> bytes:
             # A pre-tokenized word in the byte-level alphabet is what the library hands to its own model.
-            form = (w.encode().decode("latin-1").translate(shown) for w in words)
-            return [b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w)) for w in form]
+            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(shown))]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        _ENCODERS["library", path] = Encoder(path, encode_words)
+        _ENCODERS["library", path] = Encoder(path, encode_word=encode_word)
     return _ENCODERS["library", path]
