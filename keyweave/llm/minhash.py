@@ -335,7 +335,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sequence if shorter; none without words). Candidates: documents that share a band of compressed registers.
     1. Sketch, band, and fold buckets inside each Arrow batch, where links to a bucket's first document are
        checked at once; the band index goes to the shared folder.
-    2. Across batches each bucket links its members to its smallest one. Links give components.
+    2. Across batches each document is checked against the bucket leader (smallest member) that it shares most
+       buckets with. Links give components.
     3. Every remaining pair of one bucket that lies in two components is checked too, so nothing that shares a
        band is left out; pairs already connected need no check. In buckets of up to CROWD documents these are
        pairs; larger ones are joined block by block (_crowds).
@@ -351,7 +352,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     met = leads.select("id", "key", F.min("id").over(w).alias("first"), F.sum("n").over(w).alias("size")).where("size > 1")
     member = feats.select(F.col("doc_id").alias("id"), F.explode("member").alias("key"), F.lit(None).cast("long").alias("first"))
     live = stored(met.select("id", "key", "first").union(member), f"{base}/buckets")
-    star = live.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    # One pair a document at first: with the bucket leader that it shares most buckets with.
+    star = live.where("first < id").groupBy("id", "first").agg(F.count(F.lit(1)).alias("k"))
+    star = star.groupBy("id").agg(F.max_by("first", F.struct("k", -F.col("first"))).alias("a")).select("a", F.col("id").alias("b"))
     star = stored(star, f"{base}/star")
     links = _links(star, feats, docs, n, percent, f"{base}/one")
     near = feats.select(F.col("doc_id").alias("b"), F.explode("links").alias("a")).select("a", "b")
