@@ -173,8 +173,9 @@ def scored(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFram
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     stats = {f"{prefix}{k}": c for k, c in statistics(text).items()}
-    # A generator of one row: a filter on the score stays above it, where the statistics are columns; pushed below, it
-    # would work them out again for every condition of every rule.
-    row = F.inline(F.array(F.struct(*[c.alias(k) for k, c in stats.items()])))
-    out = docs.select(*without(docs, ["score", "predicted"]), row).withColumn("score", model.column(prefix))
+    # Projected first, where the counts that several statistics share are worked out once. A generator of one row then
+    # keeps a filter on the score above them: pushed below, it would repeat them for every condition of every rule.
+    keep = without(docs, ["score", "predicted"])
+    out = docs.select(*keep, *[c.alias(f"{k}_") for k, c in stats.items()])
+    out = out.select(*keep, F.inline(F.array(F.struct(*[F.col(f"{k}_").alias(k) for k in stats])))).withColumn("score", model.column(prefix))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop(*stats)
