@@ -185,16 +185,15 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block]) -> None:
     """Pass 1 decides blocks by link share, length and stop words, or leaves them short; pass 2 asks their neighbours.
 
-    Where the page marks an article, what lies in it is text unless it is mostly links, and the rest is not.
+    An article mark counts where at least half of the text that pass 1 finds good (if none is, of the text that is no
+    links) lies in it. Then only links make a block in it bad, and pass 2 asks neighbours on the same side of the mark
+    only: between unlike ones, or where pass 1 finds nothing good, a short block is text inside and, alone, none outside.
     """
-    marked = any(b.in_article and b.linked <= LINKS * len(b.text) for b in found)
     for b in found:
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if b.linked > LINKS * len(b.text):
             b.label = "bad"
-        elif marked:
-            b.label = "good" if b.in_article else "bad"
         elif len(b.text) < SHORT:
             b.label = "short"
         elif density >= RICH or (density >= POOR and len(b.text) >= LONG):
@@ -203,20 +202,40 @@ def classify(found: list[Block]) -> None:
             b.label = "short"
         else:
             b.label = "bad" if b.linked or len(words) < 10 else "short"
-    decided = [i for i, b in enumerate(found) if b.label in ("good", "bad")]
-    labels = {i: found[i].label for i in decided}
-    for i, b in enumerate(found):
+    text = [b for b in found if b.label == "good"] or [b for b in found if b.linked <= LINKS * len(b.text)]
+    inside = sum(len(b.text) for b in text if b.in_article)
+    if not inside or 2 * inside < sum(len(b.text) for b in text):
+        _inherit(found, list(range(len(found))), None)
+        return
+    for b in found:
+        if b.in_article and b.label == "bad" and b.linked <= LINKS * len(b.text):
+            b.label = "short"
+    for side in (True, False):
+        _inherit(found, [i for i, b in enumerate(found) if b.in_article is side], side)
+
+
+def _inherit(found: list[Block], at: list[int], inside: bool | None) -> None:
+    """Pass 2 over the blocks at `at`, inside or outside a mark that counts, or (None) with no such mark."""
+    labels = {i: found[i].label for i in at if found[i].label != "short"}
+    if inside and "good" not in labels.values():
+        labels = {}
+    decided = list(labels)
+    for i in at:
+        b = found[i]
         if b.label != "short":
             continue
         k = bisect(decided, i)
         before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
-        if b.heading:
+        if not decided:
+            b.label = "good" if inside or (inside is None and not b.heading) else "bad"
+        elif b.heading and not (inside and after is None):
             b.label = labels[after] if after is not None else "bad"
         elif before is None or after is None:
-            near = before if after is None else after
-            b.label = labels[near] if near is not None else "good"
+            b.label = labels[before if after is None else after]
         elif labels[before] == labels[after]:
             b.label = labels[before]
+        elif inside:
+            b.label = "good"
         else:  # the nearer one, text on a tie
             b.label = labels[before] if i - before < after - i else labels[after] if after - i < i - before else "good"
 

@@ -25,6 +25,15 @@ def test_two_passes_without_article():
     assert html_text.main_text(page).split("\n") == ["Title of it", long.strip(), "Short one.", long.strip()]
 
 
+def test_article_mark_decides_no_page_alone():
+    body = "It was the best of times and it was the worst of times for all of them who had been there with us in that year of the war. " * 3
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i} with its own title</a></h3><p>Teaser {i}.</p></article>" for i in range(4))
+    assert html_text.main_text(f"<div><h1>Title</h1><p>{body}</p><p>{body}</p></div><section>{cards}</section>").split("\n") == ["Title", body.strip(), body.strip()]
+    links = "<p>" + "<a href=/x>one more link of many</a> " * 4 + "</p>"
+    page = f"<div>Posted in News</div><article><h1>Title</h1><p>{body}</p><pre>x1 y2 z3</pre><p>{body}</p>{links}<p>Tags.</p>{links}</article><div>All rights</div>"
+    assert html_text.main_text(page).split("\n") == ["Title", body.strip(), "x1 y2 z3", body.strip()]
+
+
 def test_many_unclosed_tags_stay_fast():
     assert html_text.main_text("<article>" + "<p><b>w<br>" * 20_000).count("w") == 20_000
 
