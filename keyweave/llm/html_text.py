@@ -37,9 +37,18 @@ FURNITURE = frozenset("""ad ads advert adverts advertisement advertising adbox a
 sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer foot colophon comment comments respond
 reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets
 toolbar complementary contentinfo search skip toc tags hidden legal copyright""".split())
+# Words that a class or id may add to those of FURNITURE and still name furniture (site-header, ad-box-left).
+FORMS = frozenset("""site page main top bottom left right primary secondary global mobile desktop sticky fixed inner outer wrapper wrap container box bar area
+section block list lists item items link links button buttons btn icon icons unit slot col column group panel row title text message body content form entry post
+posts article articles story news js""".split())
+#: Words of furniture that stays so whatever its size, as comments and notices often outweigh the text.
+NEVER = frozenset("""ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments
+respond reply replies disqus related recommended recommendations""".split())
+#: Elements of DROP that some sites put around the whole page.
+WRAPPERS = frozenset(["form", "fieldset"])
 #: Those that make even an article element furniture.
 ASIDE = frozenset("ad ads advert comment comments reply replies promo related recommended sponsored".split())
-#: Outside an article, names that begin with one of these are content, whatever follows (content has-sidebar).
+#: Names that begin with one of these are content outside an article, whatever follows (content has-sidebar).
 CONTENT = frozenset("article articlebody main content entry post story text body".split())
 #: First pass: link share of a block that is navigation, least characters of a long block, stop-word shares.
 LINKS, LONG, SHORT, RICH, POOR = 0.5, 200, 70, 0.3, 0.15
@@ -58,62 +67,82 @@ class Block:
     in_article: bool
     heading: bool
     label: str = ""
+    pieces: list[tuple[tuple[int, ...], str, int]] | None = None
 
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROP or (tag == "header" and not in_article):
-        return True
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """0: no furniture. 1: furniture unless it holds most of the running text. 2: furniture.
+
+    A class, id or role names furniture only as a whole: each of its words is one of FURNITURE, or of FORMS beside one.
+    """
+    if tag in DROP and tag not in WRAPPERS or (tag == "header" and not in_article):
+        return 2
+    level = 1 if tag in WRAPPERS else 0
     if not attrs.strip():
-        return False
+        return level
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return 2
     names = " ".join(html.unescape(found.get(k, "")) for k in ("class", "id", "role"))
-    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", names)]
+    named = set()
+    first = None
+    for name in names.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+        first = first or (words[0] if words else None)
+        words = [w for w in words if len(w) > 1]
+        if all(w in FURNITURE or w in FORMS for w in words):
+            named.update(FURNITURE.intersection(words))
+    if in_article:
+        named -= {"header", "masthead"}
     if tag == "article":
-        return bool(ASIDE.intersection(words))
-    return tag not in ("html", "body", "main") and bool(FURNITURE.intersection(words)) and (in_article or words[0] not in CONTENT)
+        return 2 if ASIDE & named else 0
+    if tag in ("html", "body", "main") or not named or (not in_article and first in CONTENT):
+        return level
+    return 2 if NEVER & named else 1
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of visible text outside furniture, in page order, each with its white space folded."""
+    """Blocks of visible text outside furniture, in page order, each with its white space folded.
+
+    A form, or an element that only its name makes furniture, stays where it holds most of the running text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # (tag, starts furniture)
+    stack: list[tuple[str, int]] = []  # (tag, level of the furniture that it starts)
     opened: Counter[str] = Counter()
     dropped = linked = article = 0
     seen_article = False
-    parts: list[str] = []
-    link_chars = 0
+    parts: list[tuple[tuple[int, ...], str, int]] = []  # (elements of level 1 around it, text, linked characters)
+    around: dict[int, int] = {}  # such elements that are open: depth in the stack to number
+    within: tuple[int, ...] = ()
+    kinds: list[tuple[bool, bool]] = []  # of each such element: a form, outside any article
     heading = False
 
     def flush() -> None:
-        nonlocal link_chars
-        text = " ".join("".join(parts).split())
+        text = " ".join("".join(p[1] for p in parts).split())
         if text:
-            out.append(Block(text, link_chars, article > 0, heading))
+            pieces = parts.copy() if any(p[0] for p in parts) else None
+            out.append(Block(text, sum(p[2] for p in parts), article > 0, heading, pieces=pieces))
         parts.clear()
-        link_chars = 0
 
     def close(depth: int) -> None:
-        nonlocal dropped, linked, article, heading
+        nonlocal dropped, linked, article, heading, within
         while len(stack) > depth:
             tag, starts = stack.pop()
             opened[tag] -= 1
             if tag in BLOCKS:
                 flush()
-            dropped -= starts
+            dropped -= starts == 2
+            if around.pop(len(stack), None) is not None:
+                within = tuple(around.values())
             linked -= tag == "a"
             article -= tag in ("article", "main")
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = False
 
     def say(raw: str) -> None:
-        nonlocal link_chars
         if raw and not dropped:
             text = html.unescape(raw)
-            parts.append(text)
-            if linked:
-                link_chars += len(text.strip())
+            parts.append((within, text, len(text.strip()) if linked else 0))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -136,7 +165,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag == "br":
-            parts.append(" ")
+            parts.append((within, " ", 0))
             continue
         if tag in ENDS_P and opened["p"]:
             depth = max(i for i, (t, _) in enumerate(stack) if t == "p")
@@ -153,7 +182,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS:
             if tag == "img" or tag == "hr":
-                parts.append(" ")
+                parts.append((within, " ", 0))
             continue
         if tag == "a" and opened["a"]:
             depth = max(i for i, (t, _) in enumerate(stack) if t == "a")
@@ -166,11 +195,17 @@ def blocks(page: str) -> list[Block]:
             seen_article = True
             for i, (t, starts) in enumerate(stack):
                 if starts and t not in DROP:
-                    stack[i], dropped = (t, False), dropped - 1
-        starts = not dropped and furniture
+                    stack[i], dropped = (t, 0), dropped - (starts == 2)
+                    around.pop(i, None)
+            within = tuple(around.values())
+        starts = 0 if dropped else furniture
+        if starts == 1:
+            around[len(stack)] = len(kinds)
+            kinds.append((tag in WRAPPERS, not article))
+            within = tuple(around.values())
         stack.append((tag, starts))
         opened[tag] += 1
-        dropped += starts
+        dropped += starts == 2
         linked += tag == "a"
         article += tag in ("article", "main")
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -179,6 +214,40 @@ def blocks(page: str) -> list[Block]:
     say(tail)
     close(0)
     flush()
+    return _without_furniture(out, kinds) if kinds else out
+
+
+def _without_furniture(found: list[Block], kinds: list[tuple[bool, bool]]) -> list[Block]:
+    """Blocks without the text in elements of level 1, save in those with more than half of the running text.
+
+    Running text is blocks of SHORT characters that are no links: those in articles, if articles hold any text, else all;
+    for a form, either. Where articles hold short blocks only, these count for elements around articles.
+    """
+    text = [b for b in found if b.linked <= LINKS * len(b.text)]
+    marked = [b for b in text if b.in_article]
+    every = [b for b in text if len(b.text) >= SHORT]
+    running = [b for b in marked if len(b.text) >= SHORT] if marked else every
+
+    def most(of: list[Block]) -> set[int]:
+        held: Counter[int] = Counter()
+        for b in of:
+            if b.pieces is None:
+                continue
+            for inside, piece, _ in b.pieces:
+                held.update(dict.fromkeys(inside, len(piece)))
+        total = sum(len(b.text) if b.pieces is None else sum(len(p[1]) for p in b.pieces) for b in of)
+        return {k for k, n in held.items() if 2 * n > total}
+
+    stay = most(running) | {k for k in most(every) if kinds[k][0]}
+    if marked and not running:
+        stay |= {k for k in most(marked) if kinds[k][1]}
+    out = []
+    for b in found:
+        if b.pieces is not None:
+            kept = [p for p in b.pieces if stay.issuperset(p[0])]
+            b.text, b.linked, b.pieces = " ".join("".join(p[1] for p in kept).split()), sum(p[2] for p in kept), None
+        if b.text:
+            out.append(b)
     return out
 
 

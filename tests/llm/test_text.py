@@ -34,6 +34,21 @@ def test_article_mark_decides_no_page_alone():
     assert html_text.main_text(page).split("\n") == ["Title", body.strip(), "x1 y2 z3", body.strip()]
 
 
+BODY = "It was the best of times and it was the worst of times for all of them who had been there with us in that year of the war."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div id=page class='site has-sidebar'><p>{BODY}</p><div id=sidebar><p>gone</p></div></div>", BODY),
+    (f"<div class='sidebar-right'><div class=nav><a href=/>Home</a></div><p>{BODY}</p></div>", BODY),
+    (f"<form action=x.aspx><input><article><p>{BODY}</p><form>no</form></article></form>", BODY),
+    ("<form><article><p>Short.</p></article></form>", "Short."), (f"<form><fieldset><p>{BODY}</p></fieldset></form><p>Rights</p>", f"{BODY}\nRights"),
+    (f"<article><header class='entry-header'><h1>Head</h1></header><section id='legal-basis'><p>{BODY}</p></section><h2 id='social-history'>Then</h2><p>{BODY}</p></article>", f"Head\n{BODY}\nThen\n{BODY}"),
+    (f"<article class='post has-comments'><p>{BODY}</p><form>Mail me<input></form><div class='post-tags'>t1</div><p>a <span class='share-buttons'>Share</span>b</p><div id=comments><p>{BODY * 9}</p></div></article>", f"{BODY}\na b"),
+])
+def test_furniture_is_whole_names_and_little_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_many_unclosed_tags_stay_fast():
     assert html_text.main_text("<article>" + "<p><b>w<br>" * 20_000).count("w") == 20_000
 
