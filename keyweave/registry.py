@@ -376,7 +376,7 @@ def changes_apply_pk_update(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return feed.stream_feed(spark, sf_dir, "events.parquet", schema, "event_id", "user_id", "event_type = 'error'").withColumnRenamed("key", "c_custkey")
+    return feed.stream_feed(spark, f"{sf_dir}/events.parquet", schema, "event_id", "user_id", "event_type = 'error'").withColumnRenamed("key", "c_custkey")
 
 
 @query(APPLIED_SQL)

@@ -19,9 +19,13 @@ def read_feed(spark: SparkSession, path: str, seq: str, key: str, is_delete: str
     return as_changes(spark.read.parquet(path), seq, key, is_delete)
 
 
-def stream_feed(spark: SparkSession, folder: str, files: str, schema: StructType, seq: str, key: str, is_delete: str) -> DataFrame:
-    """New files of a folder as a stream; the schema is given, never inferred."""
-    return as_changes(spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 16).parquet(folder), seq, key, is_delete)
+def stream_feed(spark: SparkSession, path: str, schema: StructType, seq: str, key: str, is_delete: str) -> DataFrame:
+    """New files of a table's folder as a stream, or its one file; the schema is given, never inferred."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        stream, path = stream.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return as_changes(stream.parquet(path), seq, key, is_delete)
 
 
 def position_available(feed: DataFrame, position: int) -> bool:

@@ -29,7 +29,7 @@ def apply_stream(changes: DataFrame, store: Store, source: Callable[[], DataFram
 
 
 def stateful_last_op(changes: DataFrame, store: Store, key: str, checkpoint: str) -> DataFrame:
-    """(key, is_delete, seq) of each key's last change, with the state kept between batches by the engine."""
+    """(key, is_delete, seq) of each key's last change, with the state kept between batches by the engine. An empty stream gives none."""
     kind = dict(changes.dtypes)[key]
 
     def update(group: tuple, frames, state):
@@ -48,6 +48,8 @@ def stateful_last_op(changes: DataFrame, store: Store, key: str, checkpoint: str
         done.append(store.write(batch, f"state{batch_id:08d}"))
 
     latest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return changes.sparkSession.createDataFrame([], f"{key} {kind}, is_delete boolean, seq long")
     got = store.read(done[0])
     for name in done[1:]:
         got = got.unionByName(store.read(name))

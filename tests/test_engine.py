@@ -180,3 +180,17 @@ def test_query_equals_sql(spark, name):
 def test_queries_without_sql(spark):
     if os.path.isdir(SF):
         assert registry.QUERIES["checksum_crc32_compat"](spark, SF).count() == 2
+
+
+@pytest.mark.parametrize("name", ["changes_stream_apply", "changes_stateful_stream"])
+def test_streams_read_tables_of_part_files(spark, tmp_path, name):
+    for t in ("events", "customer"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    want, got = (sorted(map(tuple, registry.QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
+    assert got == want and got
+
+
+def test_empty_stream_gives_empty_state(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["changes_stateful_stream"](spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["c_custkey", "is_delete", "seq"]
