@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keyweave.llm.common import fresh
 from keyweave.llm.tokens import _ENCODERS, Encoder, byte_chars
 
 #: Rows taken through Python at once; only bounds memory.
@@ -122,19 +123,23 @@ def _tools(path: str) -> tuple[Trie, Decoder, Encoder]:
 def with_ids(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df plus ids_col (array<int>): its texts as the tokenizer file encodes them, without special tokens added.
 
-    Null and empty texts give an empty array. All columns pass through; ids_col must be a new name. No shuffle:
+    Null and empty texts give an empty array. All columns pass through; where another column has the name ids_col, the
+    new one, which is the last, gets a longer name (common.fresh). No shuffle:
     words are encoded where their rows are, distinct words of a chunk together, known ones from a bounded cache.
     """
-    if ids_col in df.columns:
-        raise ValueError(f"column {ids_col} exists")
-    return _mapped(df, text_col, ids_col, "array<int>", pa.list_(pa.int32()), lambda col: _encoded(path, col))
+    if ids_col.lower() == text_col.lower():
+        raise ValueError(f"column {ids_col} holds the texts")
+    return _mapped(df, text_col, fresh(df, ids_col), "array<int>", pa.list_(pa.int32()), lambda col: _encoded(path, col))
 
 
 def with_text(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df plus text_col: the text its ids decode to, special tokens included. Null arrays give null."""
-    if text_col in df.columns:
-        raise ValueError(f"column {text_col} exists")
-    return _mapped(df, ids_col, text_col, "string", pa.string(), lambda col: _decoded(path, col))
+    """df plus text_col: the text its ids decode to, special tokens included. Null arrays give null.
+
+    Where another column has the name text_col, the new one, which is the last, gets a longer name (common.fresh).
+    """
+    if text_col.lower() == ids_col.lower():
+        raise ValueError(f"column {text_col} holds the ids")
+    return _mapped(df, ids_col, fresh(df, text_col), "string", pa.string(), lambda col: _decoded(path, col))
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataType, work) -> DataFrame:

@@ -113,24 +113,27 @@ def decode(words: np.ndarray, starts: np.ndarray, n: int, blocks: range | None =
     return out
 
 
-def dump(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One shard: magic, counts, document ids and lengths, per-block offsets, words; all little-endian."""
+def dump(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """One shard: magic, counts, document ids and lengths, per-block offsets, words; all little-endian.
+
+    The last count is `nulls`: so many of the first documents have no id, whatever doc_ids holds for them.
+    """
     words, starts = encode(ids)
-    head = MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(starts), len(words))
+    head = MAGIC + struct.pack("<QQQQQ", len(doc_ids), len(ids), len(starts), len(words), nulls)
     return head + doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes() + starts.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
-def load(shard: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, lengths, all token ids) of a shard."""
+def load(shard: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """(document ids, masked where null, lengths, all token ids) of a shard."""
     if shard[:4] != MAGIC:
         raise ValueError("not a token shard")
-    docs, n, blocks, words = struct.unpack_from("<QQQQ", shard, 4)
-    at = 36
+    docs, n, blocks, words, nulls = struct.unpack_from("<QQQQQ", shard, 4)
+    at = 44
     parts = []
     for kind, count in (("<i8", docs), ("<u8", docs), ("<u4", blocks), ("<u8", words)):
         parts.append(np.frombuffer(shard, kind, count, at))
         at += parts[-1].nbytes
-    return parts[0], parts[1], decode(parts[3].astype(np.uint64), parts[2], n)
+    return np.ma.MaskedArray(parts[0], np.arange(docs) < nulls), parts[1], decode(parts[3].astype(np.uint64), parts[2], n)
 
 
 #: Ids of one shard, about; a longer document makes a longer shard.
@@ -150,7 +153,8 @@ def _write(path: str, end_id: int):
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(h) // 4 for h in held], np.uint64)
-            payload = dump(np.array(docs, np.int64), lengths, np.frombuffer(b"".join(held), "<u4"))
+            known = np.array([d or 0 for d in docs], np.int64)
+            payload = dump(known, lengths, np.frombuffer(b"".join(held), "<u4"), docs.count(None))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first": [first], "n_docs": [len(docs)], "n_ids": [size], "payload": [payload]}, schema=_SHARDS)
 
         for batch in batches:
@@ -176,7 +180,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = ends - lengths.astype(np.int64)
             raw = pa.array(ids.astype("<u4").view("<i4"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs), pc.add(pa.array(starts), batch.column(0)[i]), pa.array(lengths.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), raw)],
+                [pa.array(docs.data, mask=np.ma.getmaskarray(docs)), pc.add(pa.array(starts), batch.column(0)[i]), pa.array(lengths.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), raw)],
                 names=["doc_id", "start", "n_tokens", "ids"])
 
 
@@ -184,11 +188,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     """Encode whole texts (null: empty), append end_id to each, and write shards under path in ascending id order.
 
     Documents are ranged by id, sorted inside each range and coded there; a file's rows are shards (part, seq) with
-    their payload in the Simple-8b format. Equal ids keep all their rows, in text order; a null id is an error.
+    their payload in the Simple-8b format. Equal ids keep all their rows, in text order; null ids come first.
     The files are committed by Spark's writer, so a lost executor leaves no half shard behind.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.where(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("null document id"))).otherwise(F.lit(True)).cast("boolean"))
     ranged = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(_write(tokenizer, end_id), _SHARD_DDL).write.mode("overwrite").parquet(path)
 

@@ -82,6 +82,23 @@ def test_token_files(spark, monkeypatch):
     assert simple8b.coded(df.limit(0), PATH).count() == 0
 
 
+def test_token_files_of_null_ids(spark):
+    df = spark.createDataFrame([(0, "zero"), (None, "the b"), (-5, "minus"), (None, "a")], "doc_id long, text string")
+    for rows in (df, df.where("doc_id is null")):
+        got = sorted(simple8b.coded(rows, PATH).collect(), key=lambda r: r.start)
+        texts = ["a", "the b", "minus", "zero"][: len(got)]
+        assert [r.doc_id for r in got] == [None, None, -5, 0][: rows.count()] and len(got) == rows.count()
+        assert [r.ids for r in got] == [[*LIB.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_ids_and_text_beside_clashing_columns(spark):
+    df = spark.createDataFrame([("hello  world", 7, "x")], "text string, IDS int, decoded string")
+    ids = bpe.with_ids(df, PATH)
+    got = bpe.with_text(ids, PATH, ids.columns[-1])
+    assert got.columns == ["text", "IDS", "decoded", "ids_", "decoded_"]
+    assert tuple(got.first()) == ("hello  world", 7, "x", LIB.encode("hello  world", add_special_tokens=False).ids, "hello  world")
+
+
 def test_packing_is_whole_and_tight(spark):
     rows, df = _docs(spark)
     ids = {i: [*LIB.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
