@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyweave.llm import quality_rules, rule_ensemble
 from keyweave.llm.common import shared_dir, stored
@@ -19,10 +19,16 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose id is kept; rows without an id are never in a group and stay."""
-    some = docs.where("doc_id is not null").join(kept.where("kept").select("doc_id"), "doc_id", "left_semi")
-    return some.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+def _only(docs: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of docs whose `on` (id, or id and text digest) is kept, one of those with the same id and text.
+
+    Rows without an id are never in a group and stay.
+    """
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    some = docs.where("doc_id is not null").withColumn("text_sha256", digest).join(kept.where("kept").select(*on), on, "left_semi")
+    same = Window.partitionBy("doc_id", "text_sha256").orderBy("lang", "source", "n_chars", "text")
+    some = some.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return some.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +44,16 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup (3): of equal texts the row with the largest id stays (all rows of that id, if it repeats)."""
-    return _only(docs, exact_dedup(docs))
+    """Exact dedup (3): of equal texts one row with the largest id stays, whatever other texts share the ids of the rest."""
+    return _only(docs, exact_dedup(docs), ["doc_id", "text_sha256"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (1) on five-word shingles at 0.8: one document of each component stays, that of its smallest id."""
-    return _only(docs, near_duplicates(docs, n=5, percent=80))
+    """MinHash near-dedup (1) on five-word shingles at 0.8: one document of each component stays, that of its smallest id.
+
+    Repeated rows of that id stay once; rows of that id with unlike texts count as one document and stay.
+    """
+    return _only(docs, near_duplicates(docs, n=5, percent=80), ["doc_id"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,16 @@ def test_exact_stage(stages):
     assert {r.doc_id for r in after} == want and len(after) == len(want)
 
 
+def test_repeated_rows_stay_once(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(9, "a b c d e f", "en", "s", 1), (9, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (7, "other words of seven here", "en", "s", 2), (5, None, None, None, None), (5, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    got = cp.drop_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(5, ""), (7, "other words of seven here"), (9, "a b c d e f")]
+    got = cp.drop_near_copies(spark, docs.where("doc_id = 9"), SF).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(9, "a b c d e f")]
+
+
 def test_near_stage(stages):
     before, after = stages[1]["near_dedup"]
     kept = {i for i, (_, _, k) in brute_components([(r.doc_id, r.text) for r in before if r.doc_id is not None], 5).items() if k}
