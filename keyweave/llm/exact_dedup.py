@@ -45,8 +45,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the largest id stays.
-    1. Rows are folded to one index entry per (hash key, text) before the shuffle, so a group of copies of any
-       size leaves each task as one row; grouping by the text itself compares its bytes.
+    1. A groupBy on (hash key, text) decides keep_id and group_size; it compares the texts' bytes. A group of copies
+       of any size leaves each task as one row with its whole text. The index below takes no part in this.
     2. A histogram of key prefixes (2**DIRECTORY_BITS counters at most) drives directory doubling.
     3. Owner tasks take ranges of buckets, chain the entries that share a hash key and write them, sorted, to the
        shared folder: the index. A lost executor loses nothing of it.
