@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from keyweave.llm.tokens import _ENCODERS, Encoder, byte_chars
 
 #: Rows taken through Python at once; only bounds memory.
 SLICE = 256
-_PAIRS_KEPT = 1 << 20
+_PAIRS_KEPT = 1 << 19
 
 
 class Trie:
@@ -36,62 +37,122 @@ class Trie:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pieces)}
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.bytes_of = {i: t for t, i in self.vocab.items()} | added
-        self.longest = max(map(len, self.vocab))
+        self.chain, self.step = self._automaton()
+        # How each token came to be: the rank of the merge that makes it (-1 for a byte) and its two parts.
+        self.made = dict.fromkeys(self.vocab.values(), (-1, -1, -1))
+        for (a, b), k in reversed(self.rank.items()):
+            self.made[self.vocab[a + b]] = k, self.vocab[a], self.vocab[b]
+        self.pair_rank = {(self.vocab[a], self.vocab[b]): k for (a, b), k in self.rank.items()}
         self._stay: dict[tuple[int, int], bool] = {}
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """Plain BPE: the pair of lowest rank merges first, leftmost on ties."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min((self.rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def _automaton(self) -> tuple[list[tuple[tuple[int, int], ...]], list[dict[int, int]]]:
+        """Of the trie of all tokens, per node: (token, length) of the tokens that end a text which led there, longest
+        first, and its children; `back` holds the node of the longest proper ending that is in the trie."""
+        step: list[dict[int, int]] = [{}]
+        ends = [-1]
+        for text, token in self.vocab.items():
+            at = 0
+            for byte in text:
+                if byte not in step[at]:
+                    step[at][byte] = len(step)
+                    step.append({})
+                    ends.append(-1)
+                at = step[at][byte]
+            ends[at] = token
+        self.back = back = [0] * len(step)
+        chain: list[tuple[tuple[int, int], ...]] = [()] * len(step)
+        queue = [(child, 1) for child in step[0].values()]
+        for state, depth in queue:
+            chain[state] = ((ends[state], depth), *chain[back[state]]) if ends[state] >= 0 else chain[back[state]]
+            for byte, child in step[state].items():
+                at = back[state]
+                while at and byte not in step[at]:
+                    at = back[at]
+                back[child] = step[at].get(byte, 0)
+                queue.append((child, depth + 1))
+        return chain, step
 
     def stay(self, left: int, right: int) -> bool:
-        got = self._stay.get((left, right))
-        if got is None:
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            if len(self._stay) >= _PAIRS_KEPT:
-                self._stay.clear()
-            got = self._stay[left, right] = self.merged(a + b) == [a, b]
+        """Whether left, right stay two tokens when merged alone.
+
+        Merges are undone from the latest on. At each step two tokens touch at the border; if they merge by a rank
+        below that of the merge just undone, they would have merged before it.
+        """
+        key = left, right
+        pair_rank, made = self.pair_rank, self.made
+        due = len(self.rank)
+        while True:
+            if pair_rank.get((left, right), due) < due:
+                got = False
+                break
+            (a, _, tail), (b, head, _) = made[left], made[right]
+            if a < 0 and b < 0:
+                got = True
+                break
+            # On equal ranks the left token's merge, which stands further left, came first.
+            if a > b:
+                due, left = a, tail
+            else:
+                due, right = b + 1, head
+        if len(self._stay) >= _PAIRS_KEPT:
+            self._stay.clear()
+        self._stay[key] = got
         return got
 
     def encode(self, words: list[str]) -> list[bytes]:
-        vocab, longest, pairs, stay = self.vocab, self.longest, self._stay, self.stay
+        chain, step, back, pairs, stay = self.chain, self.step, self.back, self._stay, self.stay
         raws = [w.encode() for w in words]
+        order = sorted(range(len(raws)), key=raws.__getitem__)
         out: list[bytes] = [b""] * len(words)
         last: list[int] = [-1]  # last[d]: last token of the current word's prefix of d bytes
         size: list[int] = [0]  # its length in bytes
-        before = b""
-        for at in sorted(range(len(raws)), key=raws.__getitem__):
+        states: list[int] = [0]
+        for at, shared in zip(order, common_prefixes([raws[i] for i in order]), strict=True):
             word = raws[at]
-            n = min(len(word), len(before))
-            shared = n if word[:n] == before[:n] else next(i for i in range(n) if word[i] != before[i])
-            del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = vocab.get(word[start:end])
-                    if token is not None:
-                        if not start:
-                            break
-                        ok = pairs.get((last[start], token))
-                        if ok is None:
-                            ok = stay(last[start], token)
-                        if ok:
-                            break
+            del last[shared + 1 :], size[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in word[shared:] if shared else word:
+                end += 1
+                while state and byte not in step[state]:
+                    state = back[state]
+                state = step[state][byte]
+                for token, n in chain[state]:
+                    if n == end:
+                        break
+                    before = last[end - n]
+                    ok = pairs.get((before, token))
+                    if ok or ok is None and stay(before, token):
+                        break
                 last.append(token)
-                size.append(end - start)
-            ids, d = [], len(word)
-            while d:
-                ids.append(last[d])
-                d -= size[d]
-            out[at] = np.array(ids[::-1], "<u4").tobytes()
-            before = word
+                size.append(n)
+                states.append(state)
+            ids = []
+            while end:
+                ids.append(last[end])
+                end -= size[end]
+            ids.reverse()
+            out[at] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
+def common_prefixes(raws: list[bytes]) -> list[int]:
+    """For each string the bytes that it shares with the one before; 0 for the first."""
+    if not raws:
+        return []
+    flat = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.fromiter(map(len, raws), np.int64, len(raws))
+    start = np.cumsum(size) - size
+    least = np.minimum(size[1:], size[:-1])
+    shared = np.zeros(len(raws), np.int64)
+    live, d = np.flatnonzero(least > 0), 0
+    while len(live):
+        live = live[flat[start[live] + d] == flat[start[live + 1] + d]]
+        d += 1
+        shared[live + 1] = d
+        live = live[least[live] > d]
+    return shared.tolist()
+
+
 class Decoder:
     """ids -> text: token bytes in a row, read as UTF-8 with U+FFFD for what is not."""
 
@@ -103,10 +164,16 @@ class Decoder:
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
 
     def decode(self, ids: np.ndarray) -> str:
+        return self.decode_all(ids, [0, len(ids)])[0]
+
+    def decode_all(self, ids: np.ndarray, edges: list[int]) -> list[str]:
+        """The texts of ids[edges[0]:edges[1]], ids[edges[1]:edges[2]], ..."""
         size = self.size[ids]
-        begin = np.cumsum(size) - size
-        index = np.arange(int(size.sum())) + np.repeat(self.at[ids] - begin, size)
-        return self.flat[index].tobytes().decode("utf-8", "replace")
+        ends = np.cumsum(size)
+        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[ids] - (ends - size), size)
+        raw = self.flat[index].tobytes()
+        cuts = np.append(0, ends)[edges].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 _TRIES: dict[str, tuple[Trie, Decoder]] = {}
@@ -158,11 +225,15 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataTy
 
 
 def _encoded(path: str, col: pa.Array) -> pa.Array:
-    got = list(_tools(path)[2].encode(col.to_pylist()))
-    offsets = np.cumsum([0, *(len(x) // 4 for x in got)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))
+    ids, sizes = [], [np.zeros(1, np.int64)]
+    for got, ends in _tools(path)[2].batches(t.as_py() for t in col):
+        ids.append(got)
+        sizes.append(np.diff(ends, prepend=0))
+    offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).view("<i4")))
 
 
 def _decoded(path: str, col: pa.Array) -> pa.Array:
-    decoder = _tools(path)[1]
-    return pa.array([None if not x.is_valid else decoder.decode(x.values.to_numpy(zero_copy_only=False)) for x in col], pa.string())
+    edges = np.asarray(col.offsets)
+    texts = _tools(path)[1].decode_all(np.asarray(col.values)[edges[0] : edges[-1]], edges - edges[0])
+    return pa.array([t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)], pa.string())

@@ -83,14 +83,12 @@ def _cut(path: str, end_id: int, capacity: int):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), library_encoder(path).encode(t.as_py() for t in batch.column(1)), strict=True):
-                raw += end
-                n = len(raw) // 4
+            for doc, ids in zip(batch.column(0).to_pylist(), library_encoder(path).encode((t.as_py() for t in batch.column(1)), end_id), strict=True):
+                n = len(ids)
                 for start in range(0, n, capacity):
-                    rows.append((doc, start, min(capacity, n - start), zlib.crc32(raw[4 * start : 4 * (start + capacity)]), n, at))
+                    rows.append((doc, start, min(capacity, n - start), zlib.crc32(ids[start : start + capacity]), n, at))
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, schema=_PIECES)
 

@@ -31,12 +31,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     blocks = -(-n // BLOCK)
     # need[i]: bits of value i. choice[i]: the first (widest-reaching) layout that holds the values from i on.
-    need = np.zeros(n, np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = (values >> need.astype(np.uint64)) >= np.uint64(1 << shift)
-        need[big] += shift
-    need[values > 0] += 1
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    # A float's exponent tells the bits; where rounding lifts a value to the next power of two, one too many, which does no harm.
+    need = (values.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int16)
+    need = np.where(need, need - 1022, 0).astype(np.uint8)
+    left = np.minimum(BLOCK - np.arange(n, dtype=np.int32) % BLOCK, n - np.arange(n, dtype=np.int32))
     choice = np.full(n, ESCAPE, np.uint8)
     run = {1: need}  # maximum of need over a window, by doubling
 
@@ -53,7 +51,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     for selector in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[selector]
-        choice[(most(count) <= bits) & (left >= count)] = selector
+        np.putmask(choice, (most(count) <= bits) & (left >= count), selector)
     counts = np.array([c for c, _ in LAYOUT] + [1])
     at = np.arange(blocks) * BLOCK
     ends = np.minimum(at + BLOCK, n)
@@ -149,20 +147,19 @@ def _write(path: str, end_id: int):
 
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         docs, held, size = [], [], 0
-        end = end_id.to_bytes(4, "little")
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(h) // 4 for h in held], np.uint64)
+            lengths = np.array([len(h) for h in held], np.uint64)
             known = np.array([d or 0 for d in docs], np.int64)
-            payload = dump(known, lengths, np.frombuffer(b"".join(held), "<u4"), docs.count(None))
+            payload = dump(known, lengths, np.concatenate(held), docs.count(None))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first": [first], "n_docs": [len(docs)], "n_ids": [size], "payload": [payload]}, schema=_SHARDS)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc, raw in zip(ids, library_encoder(path).encode(t.as_py() for t in batch.column(1)), strict=True):
+            for doc, found in zip(ids, library_encoder(path).encode((t.as_py() for t in batch.column(1)), end_id), strict=True):
                 docs.append(doc)
-                held.append(raw + end)
-                size += len(held[-1]) // 4
+                held.append(found)
+                size += len(found)
                 if size >= SHARD_IDS:
                     yield flush()
                     docs, held, first, size, seq = [], [], first + size, 0, seq + 1

@@ -20,7 +20,7 @@ PARTS = st.sampled_from(["'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", "a",
 def test_ids_are_the_librarys(text):
     want = LIB.encode(text, add_special_tokens=False).ids
     for encoder in (library_encoder(PATH), bpe._tools(PATH)[2]):
-        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == want
+        assert next(encoder.encode([text])).tolist() == want
     assert bpe._tools(PATH)[1].decode(np.array(want, np.int64)) == LIB.decode(want, skip_special_tokens=False) == text
 
 
@@ -29,14 +29,54 @@ def test_decode_of_broken_utf8():
     assert bpe._tools(PATH)[1].decode(np.array(ids)) == LIB.decode(ids, skip_special_tokens=False)
 
 
-def test_small_cache_changes_nothing(monkeypatch):
+@pytest.mark.parametrize("weights", [None, 0])
+def test_small_cache_and_clashing_hashes_change_nothing(monkeypatch, weights):
     from keyweave.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 300)
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 10)
-    texts = ["one two three four five six seven", "", None, "two three", "x" * 5000, " " * 3000]
-    encoder = tokens.Encoder(PATH, bpe._tools(PATH)[0].encode)
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [LIB.encode(t or "", add_special_tokens=False).ids for t in texts]
+    if weights == 0:  # all words of a chunk, and of all chunks, have one hash
+        monkeypatch.setattr(tokens, "WEIGHTS", np.zeros(64, np.uint64))
+    texts = ["one two three four five six seven", "", None, "two three", "x" * 5000, " " * 3000, *(f"w{i % 7} two <|endoftext|>é" for i in range(50))]
+    for make in (bpe._tools(PATH)[0].encode, library_encoder(PATH).cache.encode_words):
+        encoder = tokens.Encoder(PATH, make)
+        for tail in (None, 0):
+            want = [LIB.encode(t or "", add_special_tokens=False).ids + ([] if tail is None else [tail]) for t in texts]
+            assert [x.tolist() for x in encoder.encode(texts, tail)] == want
+
+
+def test_cached_words_are_encoded_once():
+    from keyweave.llm import tokens
+
+    asked = []
+    encoder = tokens.Encoder(PATH, lambda words: asked.extend(words) or bpe._tools(PATH)[0].encode(words))
+    for _ in range(3):
+        list(encoder.encode(["one two one", "two " + "y" * 100]))
+    assert sorted(asked) == sorted(["one", " two", " one", "two"] + [" " + "y" * 100] * 3)
+
+
+def plain_merging(rank, text):
+    """The pair of lowest rank merges first, leftmost on ties."""
+    parts = [text[i : i + 1] for i in range(len(text))]
+    while len(parts) > 1:
+        best, at = min((rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
+        if best == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def test_border_rule_equals_plain_merging():
+    trie = bpe._tools(PATH)[0]
+    rng = random.Random(3)
+    raw = {i: t for t, i in trie.vocab.items()}
+    pairs = [(rng.randrange(5000), rng.randrange(5000)) for _ in range(20000)]
+    for text in rng.sample(list(trie.vocab), 5000):  # both sides of a cut through a token
+        for cut in range(1, len(text)):
+            if text[:cut] in trie.vocab and text[cut:] in trie.vocab:
+                pairs.append((trie.vocab[text[:cut]], trie.vocab[text[cut:]]))
+    for a, b in pairs:
+        assert trie.stay(a, b) == (plain_merging(trie.rank, raw[a] + raw[b]) == [raw[a], raw[b]])
 
 
 def test_ids_and_text_columns(spark):
@@ -122,6 +162,28 @@ def test_packing_is_whole_and_tight(spark):
     assert sum(r.length for r in packing.packed(twice, PATH).collect()) == 2 * len(ids[3])
 
 
+def plain_balance(lengths, capacity):
+    """Every piece in turn asks every sequence."""
+    loads = [[0, 0.0] for _ in range(-(-sum(lengths) // capacity))]
+    where = [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        fit = [(cost, k) for k, (used, cost) in enumerate(loads) if used + n <= capacity]
+        k = min(fit)[1] if fit else len(loads)
+        if not fit:
+            loads.append([0, 0.0])
+        where[i] = k, loads[k][0]
+        loads[k][0] += n
+        loads[k][1] += packing.LINEAR * n + packing.QUADRATIC * n * n
+    return [w[0] for w in where], [w[1] for w in where]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_balance_equals_asking_every_sequence(lengths):
+    assert packing.balance(lengths, 64) == plain_balance(lengths, 64) if lengths else packing.balance([]) == ([], [])
+
+
 def test_balance():
     r = random.Random(1)
     lengths = [r.randint(1, 2048) for _ in range(3000)]
