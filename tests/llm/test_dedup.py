@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from keyweave.llm import exact_dedup as ed, minhash as mh
@@ -128,14 +129,37 @@ def test_components(spark):
     assert all(got.get(x, x) == m for x, m in root.items())
 
 
-def test_exact_dedup_equals_brute_force(spark):
-    r = random.Random(0)
-    rows = [(i, r.choice([None, "", "a", "A", "a ", "b" * 50_000, "é", "é", "\x00"])) for i in range(300)]
+def brute_copies(rows):
     best, size = {}, {}
     for i, t in rows:
         best[t or ""], size[t or ""] = max(i, best.get(t or "", -1)), size.get(t or "", 0) + 1
-    got = {x.doc_id: tuple(x)[1:5] for x in ed.exact_dedup(docs(spark, rows).repartition(5), capacity=2).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()}
-    assert got == {i: (best[t or ""], size[t or ""], best[t or ""] == i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    return {i: (best[t or ""], size[t or ""], best[t or ""] == i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+COPY_ROWS = [(i, random.Random(i).choice([None, "", "a", "A", "a ", "b" * 50_000, "é", "é", "\x00", f"only {i}"])) for i in range(300)]
+
+
+@pytest.mark.parametrize("key", [F.xxhash64, F.length, lambda t: F.lit(5)])
+def test_exact_dedup_equals_brute_force(spark, key):
+    """With a key that many texts share, too: links of one key are told apart by their bytes."""
+    got = ed.exact_dedup(docs(spark, COPY_ROWS).repartition(5), capacity=2, key=key).collect()
+    assert {x.doc_id: tuple(x)[1:5] for x in got} == brute_copies(COPY_ROWS)
+    chains = {}
+    for x in got:
+        chains.setdefault(x.text_sha256, set()).add((x.bucket, x.chain))
+    assert all(len(c) == 1 for c in chains.values())
+    if key is not F.xxhash64:
+        texts = {t or "" for _, t in COPY_ROWS}
+        same = max(sum(len(t) == n for t in texts) for n in map(len, texts)) if key is F.length else len(texts)
+        assert max(x.chain for x in got) == same
+
+
+def test_exact_dedup_needs_its_index(spark, monkeypatch):
+    """Groups are larger than any row that reaches their owner, and nothing is found without the directory."""
+    rows = [(i, "one text") for i in range(400)]
+    assert {x.group_size for x in ed.exact_dedup(docs(spark, rows)).collect()} == {400}
+    monkeypatch.setattr(ed, "directory", lambda slots, bits, capacity: slots.selectExpr("slot", "slot AS bucket", "0 AS depth").limit(0))
+    assert ed.exact_dedup(docs(spark, rows)).count() == 0
 
 
 def test_exact_dedup_edge_rows(spark):
@@ -144,11 +168,34 @@ def test_exact_dedup_edge_rows(spark):
     assert ed.exact_dedup(docs(spark, [])).collect() == []
 
 
-def test_directory_doubles_and_splits():
-    assert ed.directory({}, 4) == (0, [(0, 0)])
-    depth, slots = ed.directory({0: 3, 1: 3, 4: 1, 7: 1}, 4, bits=3)
-    assert depth == 3 and slots[0] == (0, 3) and slots[1] == (1, 3) and slots[2] == slots[3] == (2, 2) and slots[4] == slots[7] == (4, 1)
-    assert ed.directory({5: 100}, 4, bits=3)[1][5] == (5, 3)  # one key over capacity: chained, not split for ever
+def plain_directory(slots, bits, capacity):
+    """Insert keys one by one; an overfull bucket splits by its next bit and doubles the directory where it must."""
+    depth, table = 0, [{"depth": 0, "keys": []}]
+    for slot in (s for s, n in slots.items() for _ in range(n)):
+        while True:
+            bucket = table[slot >> (bits - depth)]
+            if len(bucket["keys"]) < capacity or bucket["depth"] == bits:
+                bucket["keys"].append(slot)
+                break
+            if bucket["depth"] == depth:
+                depth, table = depth + 1, [b for b in table for _ in (0, 1)]
+            halves = [{"depth": bucket["depth"] + 1, "keys": []} for _ in (0, 1)]
+            for k in bucket["keys"]:
+                halves[k >> (bits - bucket["depth"] - 1) & 1]["keys"].append(k)
+            at = [i for i, b in enumerate(table) if b is bucket]
+            for n, i in enumerate(at):
+                table[i] = halves[n * 2 // len(at)]
+    first = {}
+    for i, b in enumerate(table):
+        first.setdefault(id(b), i << (bits - depth))
+    return {s: (first[id(table[s >> (bits - depth)])], table[s >> (bits - depth)]["depth"]) for s in slots}
+
+
+def test_directory_equals_insertion(spark):
+    r = random.Random(5)
+    for slots, bits, capacity in [({0: 3, 1: 3, 4: 1, 7: 1}, 3, 4), ({5: 100}, 3, 4), ({0: 2}, 0, 4), ({r.randrange(256): r.randrange(1, 9) for _ in range(90)}, 8, 12)]:
+        got = ed.directory(spark.createDataFrame(list(slots.items()), "slot long, n long"), bits, capacity).collect()
+        assert {x.slot: (x.bucket, x.depth) for x in got} == plain_directory(slots, bits, capacity)
 
 
 def test_even_lookup_and_bitmap(spark):
