@@ -26,9 +26,11 @@ class Resources:
     target_chunk_s: float = 0.5
     max_lag_s: float = 120
     spark_version: str = "4"
-    change_columns: tuple[str, ...] = ("seq", "op")
+    change_columns: tuple[str, ...] = ("seq", "key", "is_delete")
     foreign_keys: bool = False
     writable: Callable[[], bool] = lambda: True
+    lock_held: Callable[[], bool] = lambda: True
+    drifted: Callable[[], bool] = lambda: False
     extra: dict = field(default_factory=dict)
 
 
@@ -76,7 +78,7 @@ def settings(r: Resources) -> None:
 
 @check("preflight")
 def configuration(r: Resources) -> None:
-    _need({"seq", "op"} <= set(r.change_columns), "the change feed needs seq and op")
+    _need({"seq", "key", "is_delete"} <= set(r.change_columns), "the change feed needs seq, key and is_delete")
 
 
 @check("preflight")
@@ -120,3 +122,14 @@ def index_visibility(r: Resources) -> None:
 @check("preflight")
 def privileges(r: Resources) -> None:
     _need(r.writable(), "the table's folder cannot be written")
+
+
+@check("cutover")
+def lock(r: Resources) -> None:
+    _need(r.lock_held(), "another run has taken the table's lock")
+
+
+@check("post_setup")
+@check("cutover")
+def drift(r: Resources) -> None:
+    _need(not r.drifted(), "the source's schema changed during the run")

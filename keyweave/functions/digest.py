@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from keyweave.functions.predicates import named
+
 
 def canonical(col: str, kind: T.DataType, compat: bool = False) -> Column:
-    """A column's text form for digests. compat drops fractions of a second by rounding, as the checksum casts do."""
-    c = F.col(col)
+    """A column's text form for digests, one for each value: the shortest text that reads back as the same double, too.
+
+    compat drops fractions of a second by rounding, as the checksum casts do.
+    """
+    c = named(col)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("bigint").cast("string")
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.round(c * 100).cast("bigint").cast("string")  # text forms of doubles differ between engines
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(F.date_trunc("second", c + F.expr("interval 500 milliseconds")) if compat else c, "yyyy-MM-dd HH:mm:ss" if compat else "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(kind, T.BinaryType):
@@ -25,10 +28,13 @@ def canonical(col: str, kind: T.DataType, compat: bool = False) -> Column:
 
 
 def row_text(schema: T.StructType, columns: Sequence[str], compat: bool = False) -> Column:
-    """Every column's form and whether it is null, so that null and empty differ."""
+    """Every column's form behind its length, or a dash for null: rows with other values have another text."""
     kinds = {f.name: f.dataType for f in schema.fields}
-    parts = [x for c in columns for x in (F.coalesce(canonical(c, kinds[c], compat), F.lit("")), F.col(c).isNull().cast("int").cast("string"))]
-    return F.concat_ws("|", *parts)
+    parts = []
+    for c in columns:
+        form = canonical(c, kinds[c], compat)
+        parts.append(F.coalesce(F.concat(F.length(form).cast("string"), F.lit(":"), form), F.lit("-")))
+    return F.concat(*parts)
 
 
 def row_digest(schema: T.StructType, columns: Sequence[str], compat: bool = False) -> Column:
@@ -39,6 +45,6 @@ def row_digest(schema: T.StructType, columns: Sequence[str], compat: bool = Fals
 
 def checksum(df: DataFrame, columns: Sequence[str], by: Sequence[str | Column] = (), compat: bool = False) -> DataFrame:
     """Rows and XOR of row digests, by group; an empty table has 0 and 0. Partial aggregation runs before the shuffle."""
-    digested = df.select(*by, row_digest(df.schema, columns, compat).alias("_d"))
+    digested = df.select(*[named(c) if isinstance(c, str) else c for c in by], row_digest(df.schema, columns, compat).alias("_d"))
     names = [c if isinstance(c, str) else digested.columns[i] for i, c in enumerate(by)]
-    return digested.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor("_d"), F.lit(0).cast("bigint")).alias("digest"))
+    return digested.groupBy(*[named(c) for c in names]).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor("_d"), F.lit(0).cast("bigint")).alias("digest"))

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _value(v: object) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
@@ -18,7 +23,7 @@ def lexicographic(cols: Sequence[str | Column], values: Sequence, op: str) -> Co
     """
     if op not in (">", ">=", "<", "<=") or len(cols) != len(values) or not cols:
         raise ValueError(f"no comparison {op!r} of {len(cols)} columns and {len(values)} values")
-    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    cols = [named(c) if isinstance(c, str) else c for c in cols]
     strict = op[0]
     compare = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
     out = compare[op](cols[-1], _value(values[-1]))

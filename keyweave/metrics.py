@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark.sql import DataFrame, functions as F
+
 # Seconds between looks at the lag and at a closed throttle, and looks before work goes on anyway.
 LAG_POLL_S, WAIT_S, WAITS = 5, 1, 60
 
@@ -91,3 +93,22 @@ class Progress:
     summary: str
     copied: int = 0
     expected: int = 0
+
+
+def replica_lag(newest: DataFrame, workers: DataFrame, connected: DataFrame) -> DataFrame:
+    """One row, lag: how far the slowest connected channel is behind, in what it applied or in what it has queued.
+
+    newest has one row (newest); workers (channel, applied, queued) one a channel; connected (channel) the live ones.
+    """
+    live = workers.join(connected, "channel")
+    applier = live.join(F.broadcast(newest)).agg(F.max(F.col("newest") - F.col("applied")).alias("a"))  # one row each side
+    queue = live.agg(F.max(F.coalesce(F.col("applied") - F.col("queued"), F.lit(0))).alias("q"))
+    return applier.join(F.broadcast(queue)).select(F.greatest("a", "q").alias("lag"))
+
+
+def seconds_behind(applied: DataFrame) -> DataFrame:
+    """(channel, seconds, days) of (channel, at): whole seconds behind the newest row of all, and days from first to last."""
+    per = applied.groupBy("channel").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    newest = per.agg(F.max("last").alias("newest"))  # one row
+    behind = F.unix_timestamp("newest") - F.unix_timestamp("last")
+    return per.join(F.broadcast(newest)).select("channel", behind.alias("seconds"), F.date_diff(F.to_date("last"), F.to_date("first")).cast("long").alias("days"))

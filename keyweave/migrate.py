@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, field
 from enum import IntEnum
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from keyweave import checks
 from keyweave.metrics import NoopSink, NoThrottle, Progress, Sink, Throttle, chunk_metrics, report, wait_open
-from keyweave.model import TableDef
-from keyweave.operators.backfill import eta, insert_absent, progress
+from keyweave.functions.predicates import lexicographic
+from keyweave.model import Bound, Chunk, TableDef
+from keyweave.operators.backfill import EtaHistory, eta, progress
 from keyweave.operators.changes import TRIVIAL, apply_changes
-from keyweave.operators.diff import verify
+from keyweave.operators.diff import TablesDiffer, diff_chunks
 from keyweave.operators.transform import assert_safe, project, shared_columns
-from keyweave.plans.chunker import Chunker, WatermarkNotReady
+from keyweave.plans.chunking import key_stats, quantile_plan, strategy
 from keyweave.plans.ddl import adds_unique, evolve, metadata_only, parse
-from keyweave.sources.feed import schema_fingerprint
+from keyweave.sources.feed import pending, schema_fingerprint
 from keyweave.sources.store import Store
 
 
@@ -60,13 +67,46 @@ def pass_through(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(found.text)
 
 
+#: Chunks of a copy at most (each is one job and one folder, so a large table has large ones), chunks that one comparison
+#: takes, passes of the comparison, seconds between flushes, and looks at the feed before a barrier is given up.
+MOST_CHUNKS, COMPARED, PASSES, FLUSH_S, BARRIER_WAITS = 256, 32, 3, 30.0, 60
+
+
+def chunk_plan(df: DataFrame, table: TableDef, size: int) -> list[Chunk]:
+    """Chunks of about `size` rows that cover every key: by arithmetic where the key is dense, else by quantiles.
+
+    There are MOST_CHUNKS at most; in larger tables they are larger.
+    """
+    key = table.key
+    if strategy(df, key, table.auto_increment) == "arithmetic":
+        n, low, high = key_stats(df, key[0]).first()
+        step = max(size, -(-(high - low + 1) // MOST_CHUNKS))
+        at = [(low + i * step,) for i in range(1, -(-(high - low + 1) // step))]
+    else:
+        step = max(size, -(-df.count() // MOST_CHUNKS))
+        bounds = quantile_plan(df, key, step).where("chunk_id > 0").orderBy("chunk_id").select(*[f"lower_{c}" for c in key]).collect()
+        at = [tuple(b) for b in bounds]
+    edges = [None, *at, None]
+    return [Chunk(key, a and Bound(a), b and Bound(b, False), step) for a, b in zip(edges, edges[1:])]
+
+
+def chunk_number(chunks: list[Chunk]) -> Column:
+    """The number of the chunk that a row's key lies in."""
+    return reduce(lambda n, c: n + lexicographic(c.key, c.lower.values, ">=").cast("int"), chunks[1:], F.lit(0))
+
+
 @dataclass
 class Migration:
     """One ALTER of a stored table.
 
-    Chunks are copied in key order, each appended to the shadow version, with a checkpoint behind it; a resumed run
-    inserts only keys that are not there yet and goes on at the low watermark. `changes` gives (seq, key, is_delete) behind a position; `live` is the source as its
-    owner has it now, where that is not the version the copy began with.
+    Chunks are copied, `threads` at a time, each by one job into a folder of its own; a manifest of these folders is the
+    new version. A checkpoint lists the finished ones, so a resumed run copies the others only. Between rounds of chunks
+    changes are flushed into finished chunks, whose folders alone are rewritten. Chunks not begun read the source as it
+    is when they begin, so changes of their keys need no replay.
+
+    `changes` gives (seq, key, is_delete) behind a position, key being a struct where the table's key has several
+    columns; `live` is the source as its owner has it now, where that is not the version the copy began with; within
+    `blocked` the owner makes no change, and `source_position` tells the position that the feed must have reached then.
     """
 
     store: Store
@@ -74,10 +114,14 @@ class Migration:
     sql: str
     changes: Callable[[int], DataFrame] | None = None
     live: Callable[[], DataFrame] | None = None
-    chunk_size: int = 1000
+    blocked: Callable[[], AbstractContextManager] = nullcontext
+    source_position: Callable[[], int] | None = None
+    chunk_size: int = 100_000
     target_chunk_s: float = 0.5
     threads: int = 4
+    flush_s: float = FLUSH_S
     checksum: bool = True
+    fix: bool = True
     strict: bool = False
     defer_cutover: bool = False
     sentinel_polls: int = 0
@@ -91,15 +135,19 @@ class Migration:
 
     def run(self) -> str:
         """Returns how it was done: metadata or copy."""
-        resources = checks.Resources(table=self.table, threads=self.threads, target_chunk_s=self.target_chunk_s, spark_version=self.store.spark.version)
+        resources = checks.Resources(
+            table=self.table, threads=self.threads, target_chunk_s=self.target_chunk_s, spark_version=self.store.spark.version, writable=self.store.writable,
+            change_columns=tuple(self.changes(self.position).columns) if self.changes else checks.Resources.change_columns, lock_held=self.store.held, drifted=self._drifted)
         checks.run("prerun", resources)
-        self.statement = resources.statement = parse(self.sql)
+        self.resources, self.statement = resources, parse(self.sql)
+        resources.statement = self.statement
         if self.statement.kind != "alter":
             raise ValueError("only ALTER is migrated; run other statements as they are")
-        self.store.lock()
+        self.store.lock(self.statement.schema, self.table.name)
         try:
             if metadata_only(self.statement):
                 self.new_table = evolve(self.table, self.statement)
+                self.store.define(self.new_table)
                 self.state = State.CLOSED
                 return "metadata"
             checks.run("preflight", resources)
@@ -113,83 +161,114 @@ class Migration:
 
     def _copy_path(self) -> None:
         self.new_table = evolve(self.table, self.statement)
+        self.schema = StructType([self.new_table.schema[c] for c in self.new_table.schema.names])
         self.source_name = self.store.current()
         self.source = self.store.read(self.source_name)
         self.print = schema_fingerprint(self.source)
-        key = self.table.key
         assert_safe(self.source, self.new_table, [c.columns for c in self.statement.clauses if c.kind == "add_unique"])
-        shadow = f"_new_{self.table.name}"
-        self._copy(shadow, self._resume(shadow))
+        self._resume()
+        checks.run("post_setup", self.resources)
+        self._copy()
         self._gate()
         self.state = State.APPLY_CHANGES
-        target = self.store.read(shadow)
-        target = self._drain(target, key)
+        self._drain()
         self.state = State.ANALYZE
-        self.stats = target.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key[0]).alias("min_key"), F.max(key[0]).alias("max_key")).first().asDict()
+        key = self.table.key[0]
+        self.stats = self._target().agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).cast("string").alias("min_key"), F.max(key).cast("string").alias("max_key")).first().asDict()
+        self.store.files.write("STATS", json.dumps(self.stats))
         if self.checksum or adds_unique(self.statement) or self.resumed:
             self.state = State.CHECKSUM
-            columns = [c for c in shared_columns(self.new_table.stored_columns, self.table.stored_columns)]
-            wanted = project(self._source_now(), self.new_table)
-            chunk = F.pmod(F.xxhash64(*key), F.lit(64))
-            target, self.passes = verify(wanted, target, columns, chunk, lambda df: self.store.read(self.store.write(df)))
+            self._compare()
         self.state = State.POST_CHECKSUM
-        target = self._drain(target, key)
+        self._drain()
         self.state = State.CUT_OVER
-        if schema_fingerprint(self._source_now()) != self.print:
-            raise SchemaDrift(self.table.name)
-        old = self.store.swap(self.store.write(target))
+        with self.blocked():
+            self._barrier()
+            self._drain(all_of_it=True)
+            try:
+                checks.run("cutover", self.resources)
+            except checks.CheckFailed as e:
+                raise (SchemaDrift(self.table.name) if self._drifted() else e) from None
+            old = self.store.swap(self.store.write_manifest(self.schema, self.parts))
+            self.store.define(self.new_table)
+        checks.run("post_cutover", self.resources)
         if not self.keep_old and old:
             self.store.drop(old)
+        self._sweep()
         self.store.clear_checkpoints()
-        self.store.files.delete(shadow)
         self.state = State.CLOSED
 
+    def _sweep(self) -> None:
+        """Remove folders of the new version that its manifest doesn't list."""
+        kept = {f.split("/")[1] for f in self.parts.values()}
+        for name in set(self.store.files.names(self.shadow)) - kept:
+            self.store.files.delete(f"{self.shadow}/{name}")
+
+    def _drifted(self) -> bool:
+        return hasattr(self, "print") and schema_fingerprint(self._source_now()) != self.print
+
     def _source_now(self) -> DataFrame:
         return self.live() if self.live else self.store.read(self.source_name)
 
-    def _resume(self, shadow: str) -> dict | None:
-        """The checkpoint to go on from, or None to start over; strict mode refuses to start over for another ALTER."""
-        self.resumed = False
+    def _target(self, which: list[int] | None = None) -> DataFrame:
+        return self.store.read_parts(self.schema, [f for i, f in sorted(self.parts.items()) if which is None or i in which])
+
+    def _resume(self) -> None:
+        """Go on from the checkpoint, or plan anew; strict mode refuses to plan anew for another ALTER."""
         saved = self.store.load_checkpoint()
-        if not saved or not self.store.files.exists(shadow):
-            self.store.files.delete(shadow)
-            self.store.clear_checkpoints()
-            return None
-        if saved["statement"] != self.statement.text:
-            if self.strict:
-                raise ValueError("the checkpoint belongs to another ALTER")
-            self.store.files.delete(shadow)
+        if saved and saved["statement"] != self.statement.text and self.strict:
+            raise ValueError("the checkpoint belongs to another ALTER")
+        self.resumed = bool(saved) and saved["statement"] == self.statement.text and saved["parts"]["source"] == self.source_name
+        self.compared = 0
+        if self.resumed:
+            p = saved["parts"]
+            self.shadow, self.done, self.flushes = p["shadow"], set(p["done"]), p["flushes"]
+            self.chunks, self.parts = [Chunk.from_json(c) for c in p["chunks"]], {int(i): f for i, f in p["folders"].items()}
+            self.position, self.copied = saved["position"], saved["rows_copied"]
+            self.compared = int(saved["checksum_watermark"] or 0)
+            self._sweep()  # what a killed run left half done
+            return
+        if saved:
+            self.store.files.delete(saved["parts"]["shadow"])
             self.store.clear_checkpoints()
-            return None
-        self.resumed = True
-        return saved
+        self.shadow, self.done, self.flushes, self.parts = f"_new_{self.table.name}-{time.time_ns()}", set(), 0, {}
+        self.chunks = chunk_plan(self.source, self.table, self.chunk_size)
+
+    def _save(self) -> None:
+        low = next((i for i in range(len(self.chunks)) if i not in self.done), len(self.chunks))
+        parts = {"source": self.source_name, "shadow": self.shadow, "chunks": [c.to_json() for c in self.chunks], "done": sorted(self.done), "folders": self.parts, "flushes": self.flushes}
+        self.store.save_checkpoint(
+            copier_watermark=self.chunks[low - 1].to_json() if low else "", checksum_watermark=str(self.compared or ""), position=self.position, rows_copied=self.copied,
+            rows_copied_logical=self.copied, statement=self.statement.text, parts=parts)
+
+    def _copy_chunk(self, i: int) -> tuple[int, float]:
+        """(rows, seconds) of one chunk, copied from the source as it is now."""
+        wait_open(self.throttle)
+        began, seen = time.monotonic(), Observation(f"copy{uuid.uuid4().hex}")
+        rows = project(self._source_now().where(self.chunks[i].predicate()), self.new_table)
+        folder = f"{self.shadow}/chunk{i:05d}-{uuid.uuid4().hex[:8]}"
+        self.store.write(rows.observe(seen, F.count(F.lit(1)).alias("n")), folder)
+        n, seconds = seen.get["n"], time.monotonic() - began
+        self.parts[i] = folder
+        report(self.sink, chunk_metrics(seconds, self.chunks[i].size, n))
+        return n, seconds
 
-    def _copy(self, shadow: str, saved: dict | None) -> None:
+    def _copy(self) -> None:
         self.state = State.COPY_ROWS
-        key = self.table.key[0]
-        low, high, n = self.source.agg(F.coalesce(F.min(key), F.lit(0)), F.coalesce(F.max(key), F.lit(0)), F.count(F.lit(1))).first()
-        self.expected = n
-        chunker = Chunker(key, low, high, self.target_chunk_s, self.chunk_size)
-        if saved:
-            chunker.resume(saved["copier_watermark"])
-            self.position, self.copied = saved["position"], saved["rows_copied"]
-        for chunk in chunker:
-            wait_open(self.throttle)
-            began = time.monotonic()
-            rows = project(self.source.where(chunk.predicate()), self.new_table)
-            if self.resumed:
-                there = self.store.read(shadow)
-                rows = insert_absent(there.limit(0), rows.join(there.select(*self.table.key), list(self.table.key), "left_anti"), self.table.key)
-            count = rows.count()
-            self.store.append(rows, shadow)
-            seconds = time.monotonic() - began
-            chunker.feedback(chunk, seconds)
-            self.copied += count
-            report(self.sink, chunk_metrics(seconds, chunk.size, count))
-            try:
-                self.store.save_checkpoint(copier_watermark=chunker.low_watermark(), checksum_watermark="", position=self.position, rows_copied=self.copied, rows_copied_logical=self.copied, statement=self.statement.text)
-            except WatermarkNotReady:
-                continue
+        self.expected = self.source.count()
+        self.history, self.rates = EtaHistory(), [(time.monotonic(), self.copied)]
+        todo = [i for i in range(len(self.chunks)) if i not in self.done]
+        flushed = time.monotonic()
+        with ThreadPoolExecutor(self.threads) as pool:
+            for at in range(0, len(todo), self.threads):
+                now = todo[at : at + self.threads]
+                self.copied += sum(n for n, _ in pool.map(self._copy_chunk, now))
+                self.done.update(now)
+                self.rates = [*self.rates[-1:], (time.monotonic(), self.copied)]
+                if self.changes and time.monotonic() - flushed >= self.flush_s:
+                    self._flush()
+                    flushed = time.monotonic()
+                self._save()
 
     def _gate(self) -> None:
         """While the sentinel exists the cut-over waits; it is made here if the caller defers."""
@@ -199,26 +278,95 @@ class Migration:
         for _ in range(self.sentinel_polls):
             if not self.store.files.exists("SENTINEL"):
                 return
+            if self.changes:
+                self._flush()
             time.sleep(1)
         if self.store.files.exists("SENTINEL"):
             raise TimeoutError("the sentinel is still there")
 
-    def _drain(self, target: DataFrame, key: tuple[str, ...]) -> DataFrame:
-        """Apply what is pending until it is trivial, then once more."""
-        if not self.changes:
-            return target
-        while True:
-            batch = self.changes(self.position)
-            n, top = batch.agg(F.count(F.lit(1)), F.max("seq")).first()
-            if not n:
-                return target
-            source = project(self._source_now(), self.new_table)
-            target = self.store.read(self.store.write(apply_changes(target, source, batch.withColumnRenamed("key", key[0]), key)))
-            self.position = top
-            if n < TRIVIAL:
-                return target
+    def _flush(self) -> int:
+        """Apply the changes behind the position to finished chunks; returns how many changes there were."""
+        batch = self.changes(self.position)
+        n, top = pending(batch)
+        if not n:
+            return 0
+        key = self.table.key
+        names = ["key"] if len(key) == 1 else [f"key.`{c}`" for c in key]
+        number = chunk_number(self.chunks)
+        changed = batch.select("seq", *[F.col(c).alias(k) for c, k in zip(names, key, strict=True)], "is_delete").withColumn("_chunk", number)
+        touched = sorted({r[0] for r in changed.select("_chunk").distinct().collect()} & self.done)
+        if touched:
+            unique = [self.new_table.indexes[u] for u in sorted(self.new_table.unique)]
+            which = sorted(self.done) if unique else touched  # a row may displace one of any chunk
+            source = self._source_now()
+            if len(touched) <= 16:
+                source = source.where(reduce(lambda a, b: a | b, [self.chunks[i].predicate() for i in touched]))
+            mine = changed.where(F.col("_chunk").isin(touched)).drop("_chunk")
+            after = apply_changes(self._target(which), project(source, self.new_table), mine, key, unique=unique)
+            fresh = self.store.write_parts(after.withColumn("_chunk", number), "_chunk", f"{self.shadow}/flush{self.flushes:05d}-{uuid.uuid4().hex[:8]}")
+            old = [self.parts.pop(i) for i in which if i in self.parts]
+            self.parts.update(fresh)
+            self.flushes += 1
+        self.position = top
+        self._save()
+        if touched:
+            for folder in old:
+                self.store.files.delete(folder)
+        return n
+
+    def _drain(self, all_of_it: bool = False) -> None:
+        """Flush until what comes is trivial, or until nothing comes."""
+        while self.changes and self._flush() >= (1 if all_of_it else TRIVIAL):
+            pass
+
+    def _barrier(self) -> None:
+        """Wait until the feed has what the owner had written when it was blocked."""
+        if not self.changes or not self.source_position:
+            return
+        goal = self.source_position()
+        for _ in range(BARRIER_WAITS):
+            self._flush()
+            if self.position >= goal:
+                return
+            time.sleep(1)
+        raise TimeoutError(f"the feed has not reached {goal}")
+
+    def _compare(self) -> None:
+        """Compare source and target, COMPARED chunks at a time, and copy again what differs; sets `passes`.
+
+        Finished groups are in the checkpoint, so that a resumed run goes on behind them.
+        """
+        columns = shared_columns(self.new_table.stored_columns, self.table.stored_columns)
+        number, self.passes = chunk_number(self.chunks), 1
+        for at in range(self.compared, len(self.chunks), COMPARED):
+            which = list(range(at, min(at + COMPARED, len(self.chunks))))
+            for n in range(1, PASSES + 1):
+                inside = Chunk(self.table.key, self.chunks[which[0]].lower, self.chunks[which[-1]].upper).predicate()
+                wanted = project(self._source_now().where(inside), self.new_table)
+                bad = [r[0] for r in diff_chunks(wanted, self._target(which), columns, number).where("not same").select("chunk_id").collect()]
+                self.passes = max(self.passes, n)
+                if not bad:
+                    break
+                if not self.fix:
+                    raise TablesDiffer(f"{len(bad)} chunks differ")
+                for i in bad:
+                    self._copy_chunk(i)
+            else:
+                raise TablesDiffer(f"differences after {PASSES} passes")
+            self.compared = which[-1] + 1
+            self._save()
+
+    def rate(self) -> float:
+        """Rows a second of the last round of chunks."""
+        (t0, n0), (t1, n1) = self.rates[0], self.rates[-1]
+        return (n1 - n0) / max(t1 - t0, 1e-9)
 
     def status(self) -> Progress:
-        rate = self.copied / max(time.monotonic() - self.started, 1e-9)
-        left = eta(self.copied, getattr(self, "expected", 0), rate, time.monotonic() - self.started)
-        return Progress(self.state.name, f"{progress(self.copied, getattr(self, 'expected', 0)):.2%} {left}", self.copied, getattr(self, "expected", 0))
+        expected, now = getattr(self, "expected", 0), time.monotonic()
+        rate = self.rate() if hasattr(self, "rates") else 0.0
+        left, moved = eta(self.copied, expected, rate, now - self.started), ""
+        if rate > 0 and hasattr(self, "history"):
+            seconds = max(expected - self.copied, 0) / rate
+            moved = self.history.drift(now, seconds)
+            self.history.add(now, seconds)
+        return Progress(self.state.name, " ".join(x for x in (f"{progress(self.copied, expected):.2%}", left, moved) if x), self.copied, expected)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +33,9 @@ class TableDef:
     defaults: dict[str, object] = field(default_factory=dict)
     indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
     auto_increment: bool = False
+    #: Names of indexes without duplicates, and the most characters of text columns that have a limit.
+    unique: frozenset[str] = frozenset()
+    longest: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
         missing = [c for c in self.key if c not in self.schema.names]
@@ -46,23 +51,47 @@ class TableDef:
         cols = self.indexes[index]
         return cols + tuple(c for c in self.key if c not in cols)
 
+    def to_json(self) -> str:
+        return json.dumps({"name": self.name, "schema": json.loads(self.schema.json()), "key": self.key, "generated": self.generated, "defaults": self.defaults,
+                           "indexes": self.indexes, "auto_increment": self.auto_increment, "unique": sorted(self.unique), "longest": self.longest}, default=str)
+
+    @staticmethod
+    def from_json(text: str) -> TableDef:
+        d = json.loads(text)
+        return TableDef(**d | {"schema": StructType.fromJson(d["schema"]), "key": tuple(d["key"]), "unique": frozenset(d["unique"]),
+                               "indexes": {k: tuple(v) for k, v in d["indexes"].items()}})
+
 
 @dataclass(frozen=True)
 class Bound:
     values: tuple
     inclusive: bool = True
 
+    def same_place(self, other: Bound | None) -> bool:
+        """Whether both stand at the same key values, on whichever side."""
+        return other is not None and self.values == other.values
+
+
+#: Kinds of key values that JSON lacks.
+_KINDS = {"datetime": datetime, "date": date, "decimal": Decimal}
+
 
 def _pack(v: object) -> object:
     if isinstance(v, (bytes, bytearray)):
         return {"bytes": base64.b64encode(bytes(v)).decode()}
     if v is None or isinstance(v, (str, int, float, bool)):
         return v
-    return {"text": str(v)}
+    kind = next((k for k, t in _KINDS.items() if type(v) is t), "text")
+    return {kind: v.isoformat() if kind in ("datetime", "date") else str(v)}
 
 
 def _unpack(v: object) -> object:
-    return base64.b64decode(v["bytes"]) if isinstance(v, dict) and "bytes" in v else v["text"] if isinstance(v, dict) else v
+    if not isinstance(v, dict):
+        return v
+    (kind, text), = v.items()
+    if kind == "bytes":
+        return base64.b64decode(text)
+    return _KINDS[kind].fromisoformat(text) if kind in ("datetime", "date") else _KINDS.get(kind, str)(text)
 
 
 @dataclass(frozen=True)

@@ -35,9 +35,10 @@ def diff_rows_in_halves(source: DataFrame, target: DataFrame, columns: Sequence[
     return left.select(*key, "source_digest", "target_digest").union(right.select(*key, "source_digest", "target_digest")).distinct()
 
 
-def repaired(source: DataFrame, target: DataFrame, columns: Sequence[str], chunk: Column) -> DataFrame:
-    """target with every differing chunk replaced by the source's rows."""
-    bad = diff_chunks(source, target, columns, chunk).where("not same").select("chunk_id")
+def repaired(source: DataFrame, target: DataFrame, columns: Sequence[str], chunk: Column, bad: DataFrame | None = None) -> DataFrame:
+    """target with every differing chunk (those in `bad`, if it is known) replaced by the source's rows."""
+    if bad is None:
+        bad = diff_chunks(source, target, columns, chunk).where("not same").select("chunk_id")
     keep = target.withColumn("chunk_id", chunk).join(bad, "chunk_id", "left_anti")
     fresh = source.withColumn("chunk_id", chunk).join(bad, "chunk_id", "left_semi")
     return keep.unionByName(fresh).select(*target.columns)
@@ -48,13 +49,21 @@ class TablesDiffer(Exception):
 
 
 def verify(source: DataFrame, target: DataFrame, columns: Sequence[str], chunk: Column, store=None, fix: bool = True, attempts: int = 3) -> tuple[DataFrame, int]:
-    """(target, passes): compare and repair until a pass finds nothing; store(df) keeps each repaired version."""
+    """(target, passes): compare and repair until a pass finds nothing; store(df) keeps each repaired version.
+
+    A pass compares once: the ids of its differing chunks are kept for the repair.
+    """
     for n in range(1, attempts + 1):
-        bad = diff_chunks(source, target, columns, chunk).where("not same").count()
-        if not bad:
-            return target, n
-        if not fix:
-            raise TablesDiffer(f"{bad} chunks differ")
-        fixed = repaired(source, target, columns, chunk)
-        target = store(fixed) if store else fixed
+        bad = diff_chunks(source, target, columns, chunk).where("not same").select("chunk_id").persist()
+        try:
+            found = bad.count()
+            if not found:
+                return target, n
+            if not fix:
+                raise TablesDiffer(f"{found} chunks differ")
+            fixed = repaired(source, target, columns, chunk, bad)
+            target = store(fixed) if store else fixed
+        finally:
+            if store:
+                bad.unpersist()
     raise TablesDiffer(f"differences after {attempts} passes")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from keyweave import checks
-from keyweave.functions.digest import checksum
+from keyweave import checks, metrics
+from keyweave.functions.digest import checksum, row_digest
 from keyweave.functions.predicates import lexicographic
 from keyweave.migrate import Migration
 from keyweave.model import Bound, Chunk, TableDef
@@ -17,7 +17,7 @@ from keyweave.plans import chunking as ck
 from keyweave.plans.chunker import BatchControl, Chunker, SizeControl
 from keyweave.plans.ddl import adds_unique, metadata_only, parse
 from keyweave.sources import feed
-from keyweave.sources.store import Store, scratch
+from keyweave.sources.store import Store, lock_name as store_lock_name, scratch
 from keyweave.streaming.apply import apply_stream, stateful_last_op
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +55,9 @@ def drifted(orders: DataFrame) -> DataFrame:
 def _digest_sql(alias: str = "") -> str:
     a = f"{alias}." if alias else ""
     form = {"o_totalprice": f"CAST(CAST(round({a}o_totalprice * 100) AS BIGINT) AS VARCHAR)", "o_orderdate": f"strftime({a}o_orderdate, '%Y-%m-%d %H:%M:%S.%f')"}
-    parts = [f"coalesce({form.get(c, f'CAST({a}{c} AS VARCHAR)')}, ''), CASE WHEN {a}{c} IS NULL THEN '1' ELSE '0' END" for c in ORDER_COLUMNS]
-    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+    texts = [form.get(c, f"CAST({a}{c} AS VARCHAR)") for c in ORDER_COLUMNS]
+    parts = [f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts]
+    return f"CAST('0x' || substr(md5({' || '.join(parts)}), 1, 15) AS BIGINT)"
 
 
 DIGEST = _digest_sql()
@@ -67,6 +68,11 @@ def _chunk() -> Column:
     return F.floor(F.col("o_orderkey") / 1000).cast("long").alias("chunk_id")
 
 
+def in_cents(orders: DataFrame) -> DataFrame:
+    """Prices as whole cents: the text of a double is not the same in all engines, that of an integer is."""
+    return orders.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.read_feed(spark, f"{sf_dir}/events.parquet", "event_id", "user_id", "event_type = 'error'").withColumnRenamed("key", "c_custkey")
 
@@ -187,12 +193,12 @@ def key_lookup_scan(spark, sf_dir):
 
 @query(f"SELECT {CHUNK_SQL} AS chunk_id, count(*) AS n_rows, bit_xor({DIGEST}) AS digest FROM orders GROUP BY 1")
 def checksum_by_chunk(spark, sf_dir):
-    return checksum(table(spark, sf_dir, "orders").withColumn("chunk_id", _chunk()), ORDER_COLUMNS, ["chunk_id"])
+    return checksum(in_cents(table(spark, sf_dir, "orders")).withColumn("chunk_id", _chunk()), ORDER_COLUMNS, ["chunk_id"])
 
 
 @query(f"SELECT count(*) AS n_rows, coalesce(bit_xor({DIGEST}), 0) AS digest FROM orders")
 def checksum_whole_table(spark, sf_dir):
-    return checksum(table(spark, sf_dir, "orders"), ORDER_COLUMNS)
+    return checksum(in_cents(table(spark, sf_dir, "orders")), ORDER_COLUMNS)
 
 
 @query()
@@ -206,7 +212,7 @@ SELECT chunk_id, coalesce(a.n, 0) AS source_rows, coalesce(a.d, 0) AS source_dig
 coalesce(a.n, 0) = coalesce(b.n, 0) AND coalesce(a.d, 0) = coalesce(b.d, 0) AS same FROM a FULL JOIN b USING (chunk_id)""")
 def diff_chunks(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return diff.diff_chunks(orders, drifted(orders), ORDER_COLUMNS, _chunk())
+    return diff.diff_chunks(in_cents(orders), in_cents(drifted(orders)), ORDER_COLUMNS, _chunk())
 
 
 _SIDES = f"WITH t AS ({TARGET_SQL}), a AS (SELECT o_orderkey, {DIGEST} AS source_digest FROM orders), b AS (SELECT o_orderkey, {DIGEST} AS target_digest FROM t)"
@@ -216,14 +222,14 @@ _SIDES = f"WITH t AS ({TARGET_SQL}), a AS (SELECT o_orderkey, {DIGEST} AS source
 source_digest, target_digest FROM a FULL JOIN b USING (o_orderkey) WHERE source_digest IS DISTINCT FROM target_digest""")
 def diff_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return diff.diff_rows(orders, drifted(orders), ORDER_COLUMNS, ["o_orderkey"])
+    return diff.diff_rows(in_cents(orders), in_cents(drifted(orders)), ORDER_COLUMNS, ["o_orderkey"])
 
 
 @query(f"""{_SIDES} SELECT o_orderkey, source_digest, target_digest FROM a LEFT JOIN b USING (o_orderkey) WHERE target_digest IS NULL OR source_digest <> target_digest
 UNION SELECT o_orderkey, source_digest, target_digest FROM b LEFT JOIN a USING (o_orderkey) WHERE source_digest IS NULL OR source_digest <> target_digest""")
 def diff_rows_union_form(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return diff.diff_rows_in_halves(orders, drifted(orders), ORDER_COLUMNS, ["o_orderkey"])
+    return diff.diff_rows_in_halves(in_cents(orders), in_cents(drifted(orders)), ORDER_COLUMNS, ["o_orderkey"])
 
 
 @query(f"""WITH t AS ({TARGET_SQL}), a AS (SELECT {CHUNK_SQL} AS c, count(*) AS n, bit_xor({DIGEST}) AS d FROM orders GROUP BY 1), b AS (SELECT {CHUNK_SQL} AS c, count(*) AS n, bit_xor({DIGEST}) AS d FROM t GROUP BY 1),
@@ -306,11 +312,30 @@ def replace_unique_side_effect(spark, sf_dir):
     return backfill.last_per_unique(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name"), ["c_nationkey"], ["c_custkey"])
 
 
-@query("""SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS INTEGER) IS NULL GROUP BY 1
-UNION ALL SELECT 'kept', count(*) FROM orders WHERE TRY_CAST(o_orderpriority AS INTEGER) IS NOT NULL HAVING count(*) > 0""")
+@query("""SELECT 'o_orderpriority' AS column_name, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS INTEGER) IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'o_totalprice', count(*) FROM orders WHERE o_totalprice <> trunc(o_totalprice) OR abs(o_totalprice) >= 2147483648 HAVING count(*) > 0
+UNION ALL SELECT 'o_orderstatus', count(*) FROM orders WHERE length(o_orderstatus) > 0 HAVING count(*) > 0
+UNION ALL SELECT 'o_custkey', count(*) FROM orders WHERE o_custkey NOT BETWEEN -128 AND 127 HAVING count(*) > 0
+UNION ALL SELECT 'o_orderdate', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) <> o_orderdate HAVING count(*) > 0
+UNION ALL SELECT 'half', count(*) FROM orders WHERE CAST(o_orderkey AS DOUBLE) / 2 <> CAST(CAST(o_orderkey AS DOUBLE) / 2 AS DECIMAL(18, 0)) HAVING count(*) > 0
+UNION ALL SELECT 'name', count(*) FROM orders WHERE length('n' || o_orderkey) > 4 HAVING count(*) > 0""")
 def cast_lossy_report(spark, sf_dir):
-    bad = transform.lossy_rows(table(spark, sf_dir, "orders"), {"o_orderpriority": T.IntegerType()}, ["o_orderkey"])
-    return bad.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    """Texts that are no numbers, fractions cut, values out of range, times of day cut, scale lost, and texts too long."""
+    orders = table(spark, sf_dir, "orders").withColumns({"half": F.col("o_orderkey").cast("double") / 2, "name": F.concat(F.lit("n"), F.col("o_orderkey"))})
+    casts = {"o_orderpriority": T.IntegerType(), "o_totalprice": T.IntegerType(), "o_orderstatus": T.StringType(), "o_custkey": T.ByteType(), "o_orderdate": T.DateType(), "half": T.DecimalType(18, 0), "name": T.StringType()}
+    bad = transform.lossy_rows(orders, casts, ["o_orderkey"], {"name": 4, "o_orderstatus": 0})
+    return bad.groupBy(F.col("column").alias("column_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey % 10 AS bucket, count(*) AS texts, count(*) AS digests FROM (SELECT DISTINCT o_orderkey, x FROM orders, range(0, 3) r(x)) GROUP BY 1")
+def digest_collisions(spark, sf_dir):
+    """Rows that look alike when joined by a separator, or when rounded: as many digests as there are rows."""
+    orders, shape = table(spark, sf_dir, "orders").select("o_orderkey"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("x")
+    left = F.expr("CASE x WHEN 0 THEN concat(o_orderkey, '|0|1:') WHEN 1 THEN cast(o_orderkey AS string) END").alias("a")
+    right = F.expr("CASE x WHEN 0 THEN '' WHEN 1 THEN '|0|1:' ELSE concat(o_orderkey, '-') END").alias("b")
+    rows = orders.select("o_orderkey", shape).select("o_orderkey", left, right, (F.col("o_orderkey") + F.col("x") / 1000).alias("d"))
+    digested = rows.select((F.col("o_orderkey") % 10).alias("bucket"), row_digest(rows.schema, ["a", "b", "d"]).alias("digest"))
+    return digested.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("digest").alias("digests"))
 
 
 @query("SELECT event_id, 'half' AS \"column\" FROM events WHERE event_id % 2 = 1")
@@ -405,18 +430,43 @@ def flush_batches(spark, sf_dir):
     return keys.groupBy(F.floor((F.col("rn") - 1) / 40).cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_keys"), F.min("c_custkey").alias("first_key"))
 
 
-@query("SELECT max(event_id) AS position, min(event_id) <= 1 AS available FROM events")
+@query("SELECT max(event_id) AS position, min(event_id) <= 1 AS from_start, max(event_id) < 5 OR min(event_id) <= 6 AS from_five FROM events")
 def current_position(spark, sf_dir):
-    return events(spark, sf_dir).agg(F.max("seq").alias("position"), (F.min("seq") <= 1).alias("available"))
+    e = events(spark, sf_dir)
+    return spark.createDataFrame([(feed.current_position(e), feed.position_available(e, 0), feed.position_available(e, 5))], "position long, from_start boolean, from_five boolean")
+
+
+@query("SELECT CAST(run_id AS BIGINT) AS run_id, any_value(d) AS is_delete, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR p <> d THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS run_id FROM (SELECT event_id * 10 + event_id % 7 AS seq, event_type = 'error' AS d, lag(event_type = 'error') OVER (ORDER BY event_id) AS p FROM events)) GROUP BY run_id")
+def changes_queue_runs_sparse(spark, sf_dir):
+    """Positions with gaps, as a log's are."""
+    return ch.runs(events(spark, sf_dir).withColumn("seq", F.col("seq") * 10 + F.col("seq") % 7))
+
+
+@query("""WITH last AS (SELECT user_id % 50 AS k, max(event_id) AS seq FROM events GROUP BY 1),
+back AS (SELECT c_custkey, c_name, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY seq DESC) AS r FROM customer JOIN last ON c_custkey = k),
+new AS (SELECT c_custkey, c_name, c_nationkey FROM back WHERE r = 1)
+SELECT * FROM new UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT k FROM last) AND c_nationkey NOT IN (SELECT c_nationkey FROM new)""")
+def changes_apply_unique(spark, sf_dir):
+    """Rows that come back displace those that clash with them on another unique index, as REPLACE does."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    changed = events(spark, sf_dir).select("seq", (F.col("c_custkey") % 50).alias("c_custkey"), F.lit(False).alias("is_delete"))
+    return ch.apply_changes(customer, customer, changed, ["c_custkey"], unique=[["c_nationkey"]])
 
 
 # Watermarks, feedback, progress --------------------------------------------------------------------------------------
 
 
-@query(f"WITH c AS (SELECT {CHUNK_SQL} AS chunk_id, max(o_totalprice) > 0 AND {CHUNK_SQL} % 7 <> 5 AS done FROM orders GROUP BY 1) SELECT coalesce(min(chunk_id) FILTER (NOT done), max(chunk_id) + 1) - 1 AS low_watermark FROM c")
+@query("""WITH s AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), n AS (SELECT lo, least(CAST(ceil((hi - lo) / 1000.0) AS BIGINT), 4) AS n FROM s)
+SELECT CAST(lo + (n - 1) * 1000 AS BIGINT) AS lower, CAST(lo + n * 1000 AS BIGINT) AS upper, 5000 < lo + n * 1000 AS passed FROM n""")
 def low_watermark(spark, sf_dir):
-    chunks = table(spark, sf_dir, "orders").groupBy(_chunk()).agg((F.max("o_totalprice") > 0).alias("ok")).withColumn("done", F.col("ok") & (F.col("chunk_id") % 7 != 5))
-    return chunks.agg((F.coalesce(F.min(F.when(~F.col("done"), F.col("chunk_id"))), F.max("chunk_id") + 1) - 1).alias("low_watermark"))
+    """Chunks finish out of order and the sixth not at all: the mark stays at the fifth, or at the last that has an end."""
+    low, high = ck.key_stats(table(spark, sf_dir, "orders"), "o_orderkey").select("min_key", "max_key").first()
+    chunker = Chunker("o_orderkey", low, high, target_s=1e9)
+    for i, chunk in sorted(enumerate(chunker), key=lambda x: (x[0] * 7 % 11, x[0])):
+        if i != 5 and chunk.upper:
+            chunker.feedback(chunk, 0.01)
+    mark = Chunk.from_json(chunker.low_watermark())
+    return spark.createDataFrame([(mark.lower.values[0], mark.upper.values[0], 5000 < mark.upper.values[0])], "lower long, upper long, passed boolean")
 
 
 @query("WITH r AS (SELECT value, row_number() OVER (ORDER BY value DESC, event_id DESC) AS rn, count(*) OVER () AS n FROM events) SELECT value AS p90 FROM r WHERE rn = n // 10 + 1")
@@ -446,10 +496,14 @@ def chunk_size_feedback(spark, sf_dir):
     return spark.createDataFrame(rows, "step int, chunk_size int")
 
 
-@query("SELECT c_nationkey, count(*) AS expected, count(*) FILTER (c_acctbal > 0) AS copied, round(count(*) FILTER (c_acctbal > 0) / count(*), 6) AS progress, CAST(floor((count(*) - count(*) FILTER (c_acctbal > 0)) / 0.5) AS BIGINT) AS eta_seconds FROM customer GROUP BY 1")
+@query("""WITH p AS (SELECT c_nationkey, count(*) AS expected, count(*) FILTER (c_acctbal > 0) AS copied FROM customer GROUP BY 1), s AS (SELECT *, CAST(floor((expected - copied) / 0.01) AS BIGINT) AS s FROM p)
+SELECT c_nationkey, expected, copied, round(copied / expected, 6) AS progress, CASE WHEN copied / expected > 0.9999 THEN 'DUE' WHEN s >= 3600 THEN (s // 3600) || 'h' || (s % 3600 // 60) || 'm' || (s % 60) || 's'
+WHEN s >= 60 THEN (s // 60) || 'm' || (s % 60) || 's' ELSE s || 's' END AS eta FROM s""")
 def copy_progress_eta(spark, sf_dir):
+    """One small row a nation, as one a table; the texts are the driver's."""
     per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("c_acctbal") > 0).alias("copied"))
-    return per.select("*", F.round(F.col("copied") / F.col("expected"), 6).alias("progress"), F.floor((F.col("expected") - F.col("copied")) / 0.5).cast("long").alias("eta_seconds"))
+    rows = [(k, n, c, round(backfill.progress(c, n), 6), backfill.eta(c, n, 0.01, 100)) for k, n, c in per.collect()]
+    return spark.createDataFrame(rows, per.schema.add("progress", "double").add("eta", "string"))
 
 
 @query("""WITH top AS (SELECT max(event_id) AS newest FROM events), workers AS (SELECT event_type AS channel, max(event_id) AS applied, max(CASE WHEN value > 0 THEN event_id END) AS queued FROM events GROUP BY 1),
@@ -457,25 +511,33 @@ conns AS (SELECT DISTINCT event_type AS channel FROM events WHERE user_id < 100)
 SELECT greatest(a.lag, q.lag) AS lag FROM a, q""")
 def lag_estimate(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    top = e.agg(F.max("event_id").alias("newest"))
     workers = e.groupBy(F.col("event_type").alias("channel")).agg(F.max("event_id").alias("applied"), F.max(F.when(F.col("value") > 0, F.col("event_id"))).alias("queued"))
     conns = e.where("user_id < 100").select(F.col("event_type").alias("channel")).distinct()
-    live = workers.join(conns, "channel")
-    applier = live.join(F.broadcast(top)).agg(F.max(F.col("newest") - F.col("applied")).alias("a"))  # one row each side
-    queue = live.agg(F.max(F.coalesce(F.col("applied") - F.col("queued"), F.lit(0))).alias("q"))
-    return applier.join(F.broadcast(queue)).select(F.greatest("a", "q").alias("lag"))
+    return metrics.replica_lag(e.agg(F.max("event_id").alias("newest")), workers, conns)
+
+
+@query("SELECT event_type AS channel, CAST(floor(epoch_us((SELECT max(ts) FROM events)) / 1000000) - floor(epoch_us(max(ts)) / 1000000) AS BIGINT) AS seconds, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS days FROM events GROUP BY 1")
+def lag_seconds(spark, sf_dir):
+    """Seconds that each channel is behind the newest one, and days that it spans."""
+    e = table(spark, sf_dir, "events")
+    return metrics.seconds_behind(e.select(F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("at")))
 
 
-@query("SELECT event_id AS id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 1")
+@query("SELECT event_id AS position, user_id AS rows_copied, event_type AS statement FROM events ORDER BY event_id DESC LIMIT 1")
 def latest_checkpoint(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type").orderBy(F.desc("id")).limit(1)
+    """Three checkpoints are written; the newest is read back."""
+    store = Store(spark, scratch(spark))
+    for e in sorted(table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(3).collect(), key=lambda e: e.event_id):
+        store.save_checkpoint(
+            copier_watermark="", checksum_watermark="", position=e.event_id, rows_copied=e.user_id, rows_copied_logical=e.user_id, statement=e.event_type, parts={})
+    got = store.load_checkpoint()
+    return spark.createDataFrame([(got["position"], got["rows_copied"], got["statement"])], "position long, rows_copied long, statement string")
 
 
 @query("SELECT n_nationkey, substr('warehouse_of_long_names', 1, 20) || '.' || substr(n_name, 1, 32) || '-' || substr(sha1('warehouse_of_long_names.' || n_name), 1, 8) AS lock_name FROM nation")
 def lock_name(spark, sf_dir):
-    schema = "warehouse_of_long_names"
-    name = F.concat(F.substring(F.lit(schema), 1, 20), F.lit("."), F.substring("n_name", 1, 32), F.lit("-"), F.substring(F.sha1(F.concat(F.lit(f"{schema}."), "n_name")), 1, 8))
-    return table(spark, sf_dir, "nation").select("n_nationkey", name.alias("lock_name"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return spark.createDataFrame([(k, store_lock_name("warehouse_of_long_names", n)) for k, n in nations.collect()], nations.schema.fields[0].simpleString().replace(":", " ") + ", lock_name string")
 
 
 # Schema and statements -----------------------------------------------------------------------------------------------
@@ -496,12 +558,22 @@ def schema_diff(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, change string")
 
 
-@query("SELECT * FROM (VALUES ('dnc', 'dob,name,city,ssn'), ('city', 'city,name,ssn')) t(index_name, chunk_key)")
+@query("SELECT * FROM (VALUES ('by_date', 'o_orderdate,o_custkey,o_orderkey'), ('by_customer', 'o_custkey,o_orderkey'), ('whole', 'o_orderkey,o_custkey')) t(index_name, chunk_key)")
 def index_key_merge(spark, sf_dir):
-    t = TableDef("t", T.StructType([T.StructField(c, T.StringType()) for c in ("name", "ssn", "dob", "city")]), ("name", "ssn"), indexes={"dnc": ("dob", "name", "city"), "city": ("city",)})
+    indexes = {"by_date": ("o_orderdate",), "by_customer": ("o_custkey", "o_orderkey"), "whole": ("o_orderkey",)}
+    t = TableDef("orders", table(spark, sf_dir, "orders").schema, ("o_custkey", "o_orderkey"), indexes=indexes)
     return spark.createDataFrame([(i, ",".join(t.index_key(i))) for i in t.indexes], "index_name string, chunk_key string")
 
 
+@query("SELECT * FROM (VALUES ('labels', 'arithmetic'), ('orders', 'arithmetic'), ('sparse', 'quantile'), ('generated', 'arithmetic'), ('text', 'quantile'), ('two', 'quantile')) t(name, strategy)")
+def chunk_strategy(spark, sf_dir):
+    orders, labels = table(spark, sf_dir, "orders"), table(spark, sf_dir, "labels")
+    sparse = orders.select((F.col("o_orderkey") * 50).alias("k"), F.col("o_orderkey").cast("string").alias("t"))
+    found = [("labels", ck.strategy(labels, ["doc_id"])), ("orders", ck.strategy(orders, ["o_orderkey"])), ("sparse", ck.strategy(sparse, ["k"])), ("generated", ck.strategy(sparse, ["k"], True)),
+             ("text", ck.strategy(sparse, ["t"])), ("two", ck.strategy(orders, ["o_custkey", "o_orderkey"]))]
+    return spark.createDataFrame(found, "name string, strategy string")
+
+
 STATEMENTS = [
     "ALTER TABLE t DROP INDEX b", "ALTER TABLE t ADD INDEX (a, b)", "ALTER TABLE t DROP INDEX b, ADD COLUMN c INT", "CREATE UNIQUE INDEX u ON s.t (a)", "ALTER TABLE t ENGINE=InnoDB",
     "ALTER TABLE t RENAME INDEX a TO b, DROP INDEX c", "ALTER TABLE t ALTER INDEX b INVISIBLE", "DROP TABLE t", "ALTER TABLE t ADD PARTITION (PARTITION p VALUES LESS THAN (10))",
@@ -554,3 +626,27 @@ def migration_end_to_end(spark, sf_dir):
     sql = "ALTER TABLE customer ADD COLUMN tier VARCHAR(10) NOT NULL DEFAULT 'new', MODIFY c_nationkey BIGINT, DROP COLUMN c_mktsegment"
     Migration(store, t, sql, pending, live, chunk_size=50_000).run()
     return store.read().select("c_custkey", "c_name", "c_nationkey", "tier")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, 'new' AS note FROM lineitem")
+def migration_four_part_key(spark, sf_dir):
+    """A key of four columns: quantile chunks, copied, compared and swapped."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    store = Store(spark, scratch(spark))
+    store.swap(store.write(lineitem))
+    Migration(store, TableDef("lineitem", lineitem.schema, tuple(FOUR)), "ALTER TABLE lineitem ADD COLUMN note VARCHAR(10) DEFAULT 'new', DROP COLUMN l_tax").run()
+    return store.read().select(*FOUR, F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), "note")
+
+
+@query("SELECT 'orders-' || o_orderkey AS name, o_custkey FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT 'orders-' || o_orderkey, -1 FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 20 <> 3")
+def migration_text_key(spark, sf_dir):
+    """A text key, with changes that arrive during the copy: some rows change, some go."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders-"), "o_orderkey").alias("name"), "o_custkey", "o_orderkey")
+    store = Store(spark, scratch(spark))
+    store.swap(store.write(orders.drop("o_orderkey")))
+    gone, changed = F.col("o_orderkey") % 20 == 3, F.col("o_orderkey") % 10 == 3
+    after = orders.where(~gone).select("name", F.when(changed, F.lit(-1).cast("long")).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    log = orders.where(changed).select(F.col("o_orderkey").alias("seq"), F.col("name").alias("key"), gone.alias("is_delete"))
+    new = TableDef("orders", store.read().schema, ("name",))
+    Migration(store, new, "ALTER TABLE orders MODIFY o_custkey BIGINT NOT NULL, ADD INDEX c (o_custkey)", lambda p: log.where(F.col("seq") > p), lambda: after, chunk_size=5000, flush_s=0).run()
+    return store.read()

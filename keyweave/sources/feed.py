@@ -28,6 +28,23 @@ def stream_feed(spark: SparkSession, path: str, schema: StructType, seq: str, ke
     return as_changes(stream.parquet(path), seq, key, is_delete)
 
 
+def current_position(feed: DataFrame) -> int | None:
+    """The newest position of a feed; None if it is empty."""
+    return feed.agg(F.max("seq")).first()[0]
+
+
+class NullKey(ValueError):
+    """A change names no row."""
+
+
+def pending(feed: DataFrame) -> tuple[int, int | None]:
+    """(changes, newest position) of what a feed holds; a change without a key is an error."""
+    n, top, named = feed.agg(F.count(F.lit(1)), F.max("seq"), F.count("key")).first()
+    if named < n:
+        raise NullKey(f"{n - named} of {n} changes have no key")
+    return n, top
+
+
 def position_available(feed: DataFrame, position: int) -> bool:
     """Whether the feed still holds everything behind a saved position."""
     low = feed.agg(F.min("seq")).first()[0]

@@ -2,55 +2,52 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from keyweave.operators.changes import apply_changes, last_op
-from keyweave.sources.store import Store
+from keyweave.sources.store import Files, Store
 
 
-def apply_stream(changes: DataFrame, store: Store, source: Callable[[], DataFrame], key: Sequence[str], checkpoint: str, keep: Callable[[DataFrame], DataFrame] = lambda c: c) -> None:
-    """Drain a change stream into the store's current version.
+def batch_name(spark, checkpoint: str, batch_id: int) -> str:
+    """A version's name that tells the stream (the id that its checkpoint has for good) and the batch."""
+    stream = json.loads(Files(spark, checkpoint).read("metadata"))["id"]
+    return f"stream-{stream}-{batch_id:010d}"
 
-    A micro-batch becomes one version that its id names; a replayed batch finds its version current and does nothing,
-    so each is applied once. Whatever was pending at the start is drained before this returns.
-    """
+
+def _drain(changes: DataFrame, store: Store, checkpoint: str, version: Callable[[DataFrame], DataFrame]) -> None:
+    """Each micro-batch makes one version from the current one. A batch that is replayed finds its own version, or a
+    later one of its stream, current and does nothing; batches of other streams don't count."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        name = f"batch{batch_id:08d}"
-        if store.current() >= name and store.current().startswith("batch"):
+        name = batch_name(store.spark, checkpoint, batch_id)
+        now = store.current() if store.files.exists("CURRENT") else ""
+        if now.startswith(name[:-10]) and now >= name:
             return
-        store.write(apply_changes(store.read(), source(), keep(batch), key), name)
+        store.write(version(batch), name)
         store.swap(name)
 
     changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def apply_stream(changes: DataFrame, store: Store, source: Callable[[], DataFrame], key: Sequence[str], checkpoint: str, keep: Callable[[DataFrame], DataFrame] = lambda c: c) -> None:
+    """Drain a change stream into the store's current version, each batch once.
+
+    Whatever was pending at the start is drained before this returns.
+    """
+    _drain(changes, store, checkpoint, lambda batch: apply_changes(store.read(), source(), keep(batch), key))
+
+
 def stateful_last_op(changes: DataFrame, store: Store, key: str, checkpoint: str) -> DataFrame:
-    """(key, is_delete, seq) of each key's last change, with the state kept between batches by the engine. An empty stream gives none."""
-    kind = dict(changes.dtypes)[key]
-
-    def update(group: tuple, frames, state):
-        seq, gone = state.get if state.exists else (-1, False)
-        for f in frames:
-            if len(f) and f["seq"].max() > seq:
-                at = f["seq"].idxmax()
-                seq, gone = int(f.loc[at, "seq"]), bool(f.loc[at, "is_delete"])
-        state.update((seq, gone))
-        yield pd.DataFrame({key: [group[0]], "is_delete": [gone], "seq": [seq]})
-
-    latest = changes.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, is_delete boolean, seq long", "seq long, is_delete boolean", "update", "NoTimeout")
-    done: list[str] = []
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        done.append(store.write(batch, f"state{batch_id:08d}"))
-
-    latest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return changes.sparkSession.createDataFrame([], f"{key} {kind}, is_delete boolean, seq long")
-    got = store.read(done[0])
-    for name in done[1:]:
-        got = got.unionByName(store.read(name))
-    return last_op(got, [key]).select(key, "is_delete", "seq")
+    """(key, is_delete, seq) of each key's last change in all batches so far; the store holds them as versions.
+
+    A batch is folded on the map side and then merged with the state, so a hot key is one row of either. An empty
+    stream gives none; a second run on the same checkpoint gives what there was before, and what came since.
+    """
+    columns = [key, "is_delete", "seq"]
+    empty = changes.sparkSession.createDataFrame([], changes.select(*columns).schema)
+    state = lambda: store.read().select(*columns) if store.files.exists("CURRENT") else empty
+    _drain(changes, store, checkpoint, lambda batch: last_op(state().unionByName(last_op(batch, [key]).select(*columns)), [key]).select(*columns))
+    return state()

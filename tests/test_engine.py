@@ -46,7 +46,9 @@ def test_checks_name_the_refusing_one():
         checks.run("prerun", checks.Resources(threads=0))
     with pytest.raises(checks.CheckFailed, match="privileges"):
         checks.run("preflight", checks.Resources(parse("ALTER TABLE t ADD x INT"), writable=lambda: False))
-    assert checks.run("cutover", checks.Resources()) == []
+    assert checks.run("cutover", checks.Resources()) == ["lock", "drift"] and checks.run("testing", checks.Resources()) == []
+    with pytest.raises(checks.CheckFailed, match="lock"):
+        checks.run("cutover", checks.Resources(lock_held=lambda: False))
 
 
 def test_metrics_and_throttle():
@@ -73,13 +75,19 @@ def test_store(spark):
     s.lock()
     with pytest.raises(Locked):
         Store(spark, s.base).lock()
+    Store(spark, s.base).lock("other", "table")
     s.unlock()
-    s.lock()
+    s.lock(lease_s=0.0, clock=lambda: 0.0)  # a driver that died long ago
+    s._beat.set()
+    heir = Store(spark, s.base)
+    heir.lock()
+    assert heir.held() and not s.held()
     assert s.load_checkpoint() is None
     fields = dict.fromkeys(Store.FIELDS, 1)
     s.save_checkpoint(**fields)
     s.save_checkpoint(**fields | {"position": 2})
     assert s.load_checkpoint()["position"] == 2
+    assert len(s.files.names("checkpoints")) == 2
     s.files.write("checkpoints/00000009.json", '{"other": 1}')
     with pytest.raises(ValueError):
         s.load_checkpoint()
@@ -106,20 +114,132 @@ def test_migration_with_changes(spark):
     assert m.status().state == "CLOSED" and s.load_checkpoint() is None
 
 
-def test_migration_resumes(spark):
+def test_migration_resumes(spark, monkeypatch):
+    """Killed in the middle of the copy: finished chunks stay, half-done folders go, the rest is copied."""
     s = _store(spark)
     sql = "ALTER TABLE t MODIFY c BIGINT"
-    first = Migration(s, TABLE, sql, target_chunk_s=5, chunk_size=500, defer_cutover=True)
-    with pytest.raises(TimeoutError):
+    copy, copied = Migration._copy_chunk, []
+
+    def dies(self, i):
+        copied.append(i)
+        if i == 3:
+            s.write(spark.range(1).toDF("id"), f"{self.shadow}/chunk00003-half")
+            raise KeyboardInterrupt
+        return copy(self, i)
+
+    monkeypatch.setattr(Migration, "_copy_chunk", dies)
+    first = Migration(s, TABLE, sql, chunk_size=500, threads=1)
+    with pytest.raises(KeyboardInterrupt):
         first.run()
-    assert first.state == State.FAILED
-    saved = s.load_checkpoint()
-    assert saved and s.files.exists("SENTINEL")
-    s.save_checkpoint(**saved | {"copier_watermark": Chunk(("id",), Bound((500,)), Bound((1000,), False), 500).to_json()})  # as if killed earlier
-    s.files.delete("SENTINEL")
-    again = Migration(s, TABLE, sql, target_chunk_s=5, chunk_size=500)
+    assert first.state == State.FAILED and copied == [0, 1, 2, 3] and s.load_checkpoint()["rows_copied"] == 1500
+    monkeypatch.setattr(Migration, "_copy_chunk", lambda self, i: copied.append(i) or copy(self, i))
+    again = Migration(s, TABLE, sql, chunk_size=500)
+    again.run()
+    assert again.resumed and again.passes == 1 and sorted(copied) == [0, 1, 2, 3, 3, 4] and again.copied == 2500
+    assert s.read().count() == 2500 and s.read().schema["c"].dataType == T.LongType() and s.definition().schema["c"].dataType == T.LongType()
+    assert not any("half" in n for n in s.files.names(again.shadow))
+
+
+def test_comparison_resumes_and_repairs(spark, monkeypatch):
+    from keyweave import migrate
+    from keyweave.operators.diff import TablesDiffer
+
+    monkeypatch.setattr(migrate, "COMPARED", 2)
+    s = _store(spark)
+    sql = "ALTER TABLE t ADD INDEX i (b)"
+    copy = Migration._copy_chunk
+
+    def spoiled(self, i):
+        got = copy(self, i)
+        if i == 3:
+            s.write(self.store.read_parts(self.schema, [self.parts[i]]).where("id <> 1700"), f"{self.shadow}/chunk00003-spoiled")
+            self.parts[i] = f"{self.shadow}/chunk00003-spoiled"
+        return got
+
+    monkeypatch.setattr(Migration, "_copy_chunk", spoiled)
+    first = Migration(s, TABLE, sql, chunk_size=500, fix=False)
+    with pytest.raises(TablesDiffer):
+        first.run()
+    assert s.load_checkpoint()["checksum_watermark"] == "2"
+    monkeypatch.setattr(Migration, "_copy_chunk", copy)
+    again = Migration(s, TABLE, sql, chunk_size=500)
     again.run()
-    assert again.resumed and again.passes == 1 and s.read().count() == 2500 and s.read().schema["c"].dataType == T.LongType()
+    assert again.resumed and again.passes == 2 and s.read().count() == 2500
+
+
+def test_changes_at_cut_over_are_not_lost(spark):
+    """The owner writes until it is blocked; the barrier waits for the feed, and all of it is flushed before the swap."""
+    from contextlib import contextmanager
+
+    s = _store(spark, 100)
+    rows, log = {i: f"v{i}" for i in range(100)}, []
+
+    def write(k, v):
+        rows[k] = v
+        log.append((len(log), k, False))
+
+    @contextmanager
+    def blocked():
+        write(7, "late")
+        write(1000, "new")
+        yield
+
+    m = Migration(
+        s, TABLE, "ALTER TABLE t DROP COLUMN c", lambda p: spark.createDataFrame([x for x in log if x[0] > p], "seq long, key long, is_delete boolean"),
+        lambda: spark.createDataFrame([(k, v, 0) for k, v in rows.items()], s.read(m.source_name).schema), blocked, lambda: len(log) - 1, chunk_size=10, flush_s=0)
+    write(1, "early")
+    m.run()
+    assert dict(map(tuple, s.read().collect())) == rows and m.position == len(log) - 1
+
+
+def test_lossy_alter_is_refused_and_keyless_changes_are_errors(spark):
+    from keyweave.operators.transform import UnsafeConversion
+    from keyweave.sources.feed import NullKey
+
+    s = Store(spark, scratch(spark))
+    s.swap(s.write(spark.sql("SELECT 1L AS id, 'long text' AS b, 3.75D AS c")))
+    t = TableDef("t", s.read().schema, ("id",))
+    for sql in ("ALTER TABLE t MODIFY c INT", "ALTER TABLE t MODIFY c DECIMAL(5,1)", "ALTER TABLE t MODIFY b VARCHAR(5)"):
+        with pytest.raises(UnsafeConversion):
+            Migration(s, t, sql).run()
+    with pytest.raises(NullKey):
+        Migration(s, t, "ALTER TABLE t MODIFY c DECIMAL(5,2)", lambda p: spark.sql("SELECT 1L AS seq, cast(NULL AS long) AS key, true AS is_delete")).run()
+
+
+def test_flush_rewrites_touched_chunks_only(spark):
+    s = _store(spark)
+    log = spark.createDataFrame([(1, 700, True)], "seq long, key long, is_delete boolean")
+    m = Migration(s, TABLE, "ALTER TABLE t ADD COLUMN d INT", lambda p: log.where(f"seq > {p}"), lambda: s.read(m.source_name).where("id <> 700"), chunk_size=500, threads=9)
+    m.run()
+    assert [i for i, f in m.parts.items() if "flush" in f] == [1] and len(m.parts) == 5 and s.read().count() == 2499
+
+
+def test_composite_key_migrates_with_changes(spark):
+    s = Store(spark, scratch(spark))
+    s.swap(s.write(spark.range(1000).selectExpr("concat('k', id % 9) AS a", "DATE '2024-01-01' + cast(id AS int) AS b", "id AS v")))
+    t = TableDef("t", s.read().schema, ("a", "b"))
+    log = s.read().where("v % 100 = 0").selectExpr("v AS seq", "struct(a, b) AS key", "v = 300 AS is_delete")
+    live = lambda: s.read(m.source_name).where("v <> 300").selectExpr("a", "b", "if(v % 100 = 0, -v, v) AS v")
+    m = Migration(s, t, "ALTER TABLE t ADD COLUMN w INT", lambda p: log.where(f"seq > {p}"), live, chunk_size=100, flush_s=0)
+    m.run()
+    assert len(m.chunks) == 10 and sorted(r.v for r in s.read().collect()) == sorted(-i if i % 100 == 0 else i for i in range(1000) if i != 300)
+    assert [Chunk.from_json(c.to_json()) for c in m.chunks] == m.chunks
+
+
+def test_streams_do_not_take_each_others_batches(spark, tmp_path):
+    from keyweave.streaming.apply import apply_stream, stateful_last_op
+
+    s = _store(spark, 10)
+    schema = spark.range(1).selectExpr("id AS seq", "id", "true AS is_delete").schema
+    for n in (1, 2):  # two streams, each with its own batch 0, and each run twice
+        spark.range(n, n + 1).selectExpr("id AS seq", "id", "true AS is_delete").write.parquet(f"{tmp_path}/in{n}")
+        for _ in range(2):
+            apply_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in{n}"), s, lambda: s.read(), ["id"], f"{tmp_path}/check{n}")
+    assert sorted(r.id for r in s.read().collect()) == [0, 3, 4, 5, 6, 7, 8, 9]
+    state = Store(spark, scratch(spark))
+    for _ in range(2):
+        got = stateful_last_op(spark.readStream.schema(schema).parquet(f"{tmp_path}/in1"), state, "id", f"{tmp_path}/check3")
+        assert [tuple(r) for r in got.collect()] == [(1, True, 1)]
 
 
 def test_other_alter_does_not_resume(spark):
@@ -137,7 +257,8 @@ def test_other_alter_does_not_resume(spark):
 def test_metadata_path_copies_nothing(spark):
     s = _store(spark, 5)
     before = s.current()
-    assert Migration(s, TABLE, "ALTER TABLE t DROP INDEX i").run() == "metadata" and s.current() == before
+    t = TableDef("t", TABLE.schema, ("id",), indexes={"i": ("b",), "j": ("c",)})
+    assert Migration(s, t, "ALTER TABLE t DROP INDEX i").run() == "metadata" and s.current() == before and s.definition().indexes == {"j": ("c",)}
 
 
 def test_statements_as_they_are(spark):

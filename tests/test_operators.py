@@ -35,6 +35,32 @@ def test_compat_rounds_seconds(spark):
     assert s("2020-01-01 00:00:00.6", False) != s("2020-01-01 00:00:01", False)
 
 
+def test_digests_tell_all_rows_apart(spark):
+    """Separators in texts, and doubles that differ beyond the cents."""
+    same = lambda a, b: rows(checksum(a, a.columns)) == rows(checksum(b, b.columns))
+    pair = "a string, b string"
+    assert not same(df(spark, [("a", "b|0|c")], pair), df(spark, [("a|0|b", "c")], pair))
+    assert not same(df(spark, [("1:", "x")], pair), df(spark, [("1", ":x")], pair)) and not same(df(spark, [(None, "-")], pair), df(spark, [("-", None)], pair))
+    one = lambda x: df(spark, [(x,)], "x double")
+    assert not same(one(1.001), one(1.004)) and not same(one(0.1 + 0.2), one(0.3)) and same(one(1e300), one(1e300))
+    odd = spark.createDataFrame([(1, "x")], "`a.b` int, `c``d` string")
+    assert rows(checksum(odd, odd.columns)) and rows(transform.project(odd, TableDef("t", odd.schema, ("a.b",)))) == [(1, "x")]
+
+
+def test_lossy_casts_of_every_kind(spark):
+    t = spark.sql("SELECT 1 AS a, 3.75D AS d, 1.239BD AS n, 300 AS i, TIMESTAMP_NTZ '2024-01-01 10:00:00' AS s, 'abcdef' AS t, 0.1D AS f, '1.239' AS u, '007' AS z")
+    casts = {"d": T.IntegerType(), "n": T.DecimalType(5, 2), "i": T.ByteType(), "s": T.DateType(), "t": T.StringType(), "f": T.FloatType(), "u": T.DecimalType(5, 2), "z": T.IntegerType()}
+    assert {r.column for r in transform.lossy_rows(t, casts, ["a"], {"t": 5}).collect()} == {"d", "n", "i", "s", "t", "f", "u"}
+    assert transform.lossy_rows(t, {"d": T.DecimalType(5, 2), "i": T.LongType(), "t": T.StringType()}, ["a"], {"t": 6}).count() == 0
+
+
+def test_replace_displaces_rows_of_other_keys(spark):
+    kind = "a int, u string, v int"
+    target, source = df(spark, [(1, "x", 0), (2, "y", 0), (3, "z", 0)], kind), df(spark, [(2, "x", 1), (4, "z", 1), (5, "z", 2)], kind)
+    changed = spark.createDataFrame([(1, 2, False), (2, 5, False), (3, 4, False)], CH)
+    assert rows(ch.apply_changes(target, source, changed, KEY, unique=[["u"]])) == [(2, "x", 1), (4, "z", 1)]
+
+
 def test_every_single_cell_change_is_found(spark):
     base = [(i, str(i)) for i in range(20)]
     whole = df(spark, base)
@@ -103,6 +129,10 @@ def test_copy_then_changes_equals_changed_source(spark):
 def test_runs(spark):
     c = spark.createDataFrame([(1, 1, False), (2, 2, False), (3, 3, True), (4, 4, False)], CH)
     assert [tuple(r) for r in ch.runs(c).orderBy("run_id").collect()] == [(1, False, 1, 2, 2), (2, True, 3, 3, 1), (3, False, 4, 4, 1)]
+    gappy = spark.createDataFrame([(i * i * 10, i, i // 3 % 2 == 1) for i in range(60)], CH)
+    assert [(r.n, r.first_seq, r.last_seq) for r in ch.runs(gappy).orderBy("run_id").collect()] == [(3, i * i * 10, (i + 2) ** 2 * 10) for i in range(0, 60, 3)]
+    assert sorted(r.n for r in ch.runs(gappy, most=2).collect()) == [1] * 20 + [2] * 20
+    assert ch.runs(gappy.limit(0)).collect() == []
     long = spark.createDataFrame([(i, i, False) for i in range(1, 8)], CH)
     assert [r.n for r in ch.runs(long, most=3).orderBy("first_seq").collect()] == [3, 3, 1]
 
