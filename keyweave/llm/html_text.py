@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect
+from bisect import bisect, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +32,9 @@ h6 header hgroup hr html li main menu nav ol p pre section summary table tbody t
 ENDS_P = BLOCKS - frozenset("html body caption tbody td tfoot th thead tr".split())
 #: Elements that an equal sibling start tag ends, up to the given container.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}}
+ALIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements through which a block does not end an open p outside.
+LIMITS = frozenset(["table", "td", "button", "object"])
 # Words in class, id or role that mark furniture.
 FURNITURE = frozenset("""ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert
 sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer foot colophon comment comments respond
@@ -108,7 +111,9 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # (tag, level of the furniture that it starts)
-    opened: Counter[str] = Counter()
+    places: dict[str, list[int]] = {}  # of each tag that is open: where it is in the stack
+    walls: list[int] = []  # places of open block elements, and of those that end the reach of a p
+    limits: list[int] = []
     dropped = linked = article = 0
     seen_article = False
     parts: list[tuple[tuple[int, ...], str, int]] = []  # (elements of level 1 around it, text, linked characters)
@@ -128,9 +133,12 @@ def blocks(page: str) -> list[Block]:
         nonlocal dropped, linked, article, heading, within
         while len(stack) > depth:
             tag, starts = stack.pop()
-            opened[tag] -= 1
+            places[tag].pop()
             if tag in BLOCKS:
+                walls.pop()
                 flush()
+            if tag in LIMITS:
+                limits.pop()
             dropped -= starts == 2
             if around.pop(len(stack), None) is not None:
                 within = tuple(around.values())
@@ -139,6 +147,14 @@ def blocks(page: str) -> list[Block]:
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = False
 
+    def unlink() -> None:
+        """The innermost open link ends here; its element stays open under no name."""
+        nonlocal linked
+        depth = places["a"].pop()
+        stack[depth] = ("-", stack[depth][1])
+        insort(places.setdefault("-", []), depth)
+        linked -= 1
+
     def say(raw: str) -> None:
         if raw and not dropped:
             text = html.unescape(raw)
@@ -153,47 +169,39 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if opened[tag] else -1
+            depth = places[tag][-1] if places.get(tag) else -1
             # An end tag inside furniture or a block closes nothing outside it; inline end tags close nothing across blocks.
-            if depth >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth + 1 :])):
+            if depth >= 0 and (tag in BLOCKS or not walls or walls[-1] <= depth):
                 close(depth)
             elif tag == "a" and depth >= 0:
-                stack[depth] = ("-", stack[depth][1])
-                opened.update({"a": -1, "-": 1})
-                linked -= 1
+                unlink()
             elif tag in BLOCKS:
                 flush()
             continue
         if tag == "br":
             parts.append((within, " ", 0))
             continue
-        if tag in ENDS_P and opened["p"]:
-            depth = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in ("table", "td", "button", "object") for t, _ in stack[depth + 1 :]):
+        if tag in ENDS_P and places.get("p"):
+            depth = places["p"][-1]
+            if not limits or limits[-1] < depth:
                 close(depth)
         if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS[tag]:
-                    break
-                if stack[i][0] == tag or {tag, stack[i][0]} == {"dd", "dt"} or {tag, stack[i][0]} == {"td", "th"}:
-                    close(i)
-                    break
+            depth = max((places[t][-1] for t in ALIKE.get(tag, (tag,)) if places.get(t)), default=-1)
+            if depth > max((places[t][-1] for t in SIBLINGS[tag] if places.get(t)), default=-1):
+                close(depth)
         if tag in BLOCKS:
             flush()
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS:
             if tag == "img" or tag == "hr":
                 parts.append((within, " ", 0))
             continue
-        if tag == "a" and opened["a"]:
-            depth = max(i for i, (t, _) in enumerate(stack) if t == "a")
-            stack[depth] = ("-", stack[depth][1])
-            opened.update({"a": -1, "-": 1})
-            linked -= 1
+        if tag == "a" and places.get("a"):
+            unlink()
         furniture = _furniture(tag, m[4], article > 0)
         if tag in ("article", "main") and not furniture and not seen_article:
             # The page's first article lies in an element that only looked like furniture by its class.
             seen_article = True
-            for i, (t, starts) in enumerate(stack):
+            for i, (t, starts) in enumerate(stack):  # once a page
                 if starts and t not in DROP:
                     stack[i], dropped = (t, 0), dropped - (starts == 2)
                     around.pop(i, None)
@@ -203,8 +211,12 @@ def blocks(page: str) -> list[Block]:
             around[len(stack)] = len(kinds)
             kinds.append((tag in WRAPPERS, not article))
             within = tuple(around.values())
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            walls.append(len(stack))
+        if tag in LIMITS:
+            limits.append(len(stack))
         stack.append((tag, starts))
-        opened[tag] += 1
         dropped += starts == 2
         linked += tag == "a"
         article += tag in ("article", "main")
