@@ -13,8 +13,8 @@ def escaped(text: str) -> str:
     return rf"regexp_replace({text}, r'<(\\*)\|', r'<$1\\|')"
 
 
-def unescaped(text: str) -> str:
-    return rf"regexp_replace({text}, r'<\\(\\*)\|', r'<$1|')"
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -41,15 +41,31 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return got.select(F.col("_conv").alias(conv_col), "formatted", "mask")
 
 
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _raw(text: Column) -> Column:
+    """array<struct<role, texts>> of a formatted string's blocks, still escaped."""
+    cut = lambda c, control: F.split(c, control.replace("|", r"\|"), -1)
+    blocks = F.transform(F.filter(cut(text, END), lambda b: b != ""), lambda b: cut(F.substr(b, F.lit(len(TURN) + 1)), SAYS))
+    return F.transform(blocks, lambda b: F.struct(b[0].alias("role"), cut(b[1], JOIN).alias("texts")))
+
+
 def parsed(text: Column | str) -> Column:
-    """array<struct<role, text>> of the turns that a formatted string holds, each as it was before formatting."""
-    name = text if isinstance(text, str) else "formatted"
-    return F.expr(rf"""flatten(transform(
-        transform(filter(split({name}, r'<\|end\|>'), b -> b <> ''), b -> split(substring(b, {len(TURN) + 1}), r'<\|says\|>', -1)),
-        e -> transform(split(e[1], r'<\|join\|>', -1), x -> named_struct('role', {unescaped('e[0]')}, 'text', {unescaped('x')}))))""")
+    """array<struct<role, text>> of the turns that a formatted string holds, each as it was before formatting; null for null."""
+    turns = lambda b: F.transform(b["texts"], lambda x: F.struct(unescaped(b["role"]).alias("role"), unescaped(x).alias("text")))
+    return F.flatten(F.transform(_raw(_column(text)), turns))
+
 
+def loss_texts(text: Column | str = "formatted", mask: Column | str = "mask") -> Column:
+    """The strings under the loss runs of a formatted string, unescaped, in order.
 
-def loss_texts(text: str = "formatted", mask: str = "mask") -> Column:
-    """The strings under the loss runs of a formatted string, unescaped, in order."""
-    return F.expr(f"""aggregate({mask}, named_struct('at', 1, 'got', cast(array() AS array<string>)), (a, r) -> named_struct(
-        'at', a.at + r.n, 'got', IF(r.loss, concat(a.got, array({unescaped(f'substring({text}, a.at, r.n)')})), a.got)), a -> a.got)""")
+    The string is cut at its control strings, and the mask, whose every second of three runs is a text, tells which
+    pieces count; a run of another length than its piece is an error. Either is walked once, whatever the turns.
+    """
+    pieces = F.flatten(F.transform(_raw(_column(text)), lambda b: b["texts"]))
+    runs = F.filter(_column(mask), lambda r, i: i % 3 == 1)
+    both = F.zip_with(pieces, runs, lambda x, r: F.struct(x.alias("x"), r["n"].alias("n"), r["loss"].alias("loss")))
+    fits = lambda p: F.when(F.length(p["x"]).eqNullSafe(p["n"]), unescaped(p["x"])).otherwise(F.raise_error(F.lit("the mask does not fit the text")))
+    return F.transform(F.filter(both, lambda p: F.coalesce(p["loss"], F.lit(True))), fits)
