@@ -16,7 +16,7 @@ from keyweave.llm.minhash import near_duplicates
 from keyweave.llm.packing import packed
 from keyweave.llm.simple8b import coded, digests
 from keyweave.llm.training import held_out
-from keyweave.llm.urls import judged
+from keyweave.llm.urls import judged, train as train_urls
 
 #: The tokenizer file of the contracts; the operators take any byte-level one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,7 +83,9 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    model = train_urls(pages, _read(spark, sf_dir, "documents").select("text"))
+    return judged(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,11 @@
+import math
+import re
+import time
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from keyweave.llm import chat, html_text, urls
 
@@ -51,6 +57,79 @@ def test_furniture_is_whole_names_and_little_text(page, text):
 
 def test_many_unclosed_tags_stay_fast():
     assert html_text.main_text("<article>" + "<p><b>w<br>" * 20_000).count("w") == 20_000
+    for part in ("<a href=x>w ", "<a><b><i>w ", "<a><p>w</a>", "<span>w</b>", "<ul><li>w", "<div><table><tr><td>w<p>"):
+        began = time.process_time()
+        html_text.main_text("<article>" + part * 20_000)
+        assert time.process_time() - began < 4, part  # about 0.5 s each
+
+
+def plain_labels(found):
+    """Both passes again, block by block, each short block asking all others."""
+    def share(b):
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        return sum(w in html_text.STOP_WORDS for w in words) / max(len(words), 1), len(words)
+
+    def first(b):
+        density, words = share(b)
+        if b.linked > len(b.text) / 2:
+            return "bad"
+        if len(b.text) < 70:
+            return "short"
+        if density >= 0.3 or density >= 0.15 and len(b.text) >= 200:
+            return "good"
+        if density >= 0.15:
+            return "short"
+        return "bad" if b.linked or words < 10 else "short"
+
+    labels = [first(b) for b in found]
+    plain = [b.linked <= len(b.text) / 2 for b in found]
+    text = [i for i, x in enumerate(labels) if x == "good"] or [i for i, x in enumerate(plain) if x]
+    marked = sum(len(found[i].text) for i in text if found[i].in_article)
+    counts = marked > 0 and marked >= sum(len(found[i].text) for i in text) / 2
+    if counts:
+        labels = ["short" if b.in_article and x == "bad" and p else x for b, x, p in zip(found, labels, plain)]
+    out = list(labels)
+    for i, b in enumerate(found):
+        if labels[i] != "short":
+            continue
+        inside = b.in_article if counts else None
+        decided = [k for k, x in enumerate(labels) if x != "short" and (not counts or found[k].in_article == b.in_article)]
+        if inside and not any(labels[k] == "good" for k in decided):
+            decided = []
+        before, after = max((k for k in decided if k < i), default=None), min((k for k in decided if k > i), default=None)
+        near = [labels[k] for k in (before, after) if k is not None]
+        if not near:
+            out[i] = "good" if inside or inside is None and not b.heading else "bad"
+        elif b.heading and not (inside and after is None):
+            out[i] = "bad" if after is None else labels[after]
+        elif len(set(near)) == 1:
+            out[i] = near[0]
+        elif inside or after - i == i - before:
+            out[i] = "good"
+        else:
+            out[i] = labels[min((before, after), key=lambda k: abs(k - i))]
+    return out
+
+
+BLOCK = st.builds(
+    lambda words, stops, linked, inside, heading: html_text.Block(" ".join(["the"] * stops + ["word"] * words), linked, inside, heading),
+    st.integers(0, 45), st.integers(0, 14), st.sampled_from([0, 0, 0, 30, 400]), st.booleans(), st.sampled_from([False, False, True]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(BLOCK, max_size=9).map(lambda bs: [b for b in bs if b.text]))
+def test_labels_equal_a_plain_labeller(found):
+    html_text.classify(found)
+    assert [b.label for b in found] == plain_labels(found)
+
+
+def test_every_block_of_the_pages_has_its_label_from_a_pass():
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        found = html_text.blocks(page or "")
+        html_text.classify(found)
+        assert [b.label for b in found] == plain_labels(found)
 
 
 def test_extracted_edges(spark):
@@ -74,6 +153,21 @@ def test_chat_round_trip(spark, turns):
     assert row["loss"] == [x for r, x in want if r == "assistant"] and sum(r["n"] for r in row["mask"]) == len(row["formatted"])
 
 
+def test_very_long_conversations_and_masks_that_do_not_fit(spark):
+    """Twice the turns take about twice the time, and a mask of another text is refused."""
+    took = []
+    for n in (4000, 16000):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <|', id, repeat('é', 40)) AS text")
+        made = spark.createDataFrame(chat.formatted(turns).collect(), chat.formatted(turns).schema)
+        began = time.perf_counter()
+        got = made.select(chat.loss_texts("formatted", "mask").alias("loss"), F.size(chat.parsed(F.col("formatted"))).alias("n")).first()
+        took.append(time.perf_counter() - began)
+        assert got["n"] == n and got["loss"] == [f"text <|{i}" + "é" * 40 for i in range(1, n, 2)]
+    assert took[1] < 10 * took[0] + 2
+    with pytest.raises(Exception, match="does not fit"):
+        made.select(chat.loss_texts(F.concat(F.lit(""), F.regexp_replace("formatted", "text", "txt")), "mask")).collect()
+
+
 def test_chat_edges(spark):
     df = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: len(r.back) for r in chat.formatted(df).withColumn("back", chat.parsed("formatted")).collect()}
@@ -96,5 +190,54 @@ def test_rules_and_models(spark):
 
 
 def test_segmentation():
-    assert urls.segment("cheappillsonline") == ["cheap", "pills", "online"] and urls.segment("zzqx") == ["zzqx"] and urls.segment("") == []
-    assert urls.block_score("dailynews.example", "") < 0.25 < urls.block_score("onlinecasino.example", "")
+    m = urls.LISTED
+    assert m.segment("cheappillsonline") == ["cheap", "pills", "online"] and m.segment("zzqx") == ["zzqx"] and m.segment("") == []
+    assert m.score("dailynews.example", "") < 0.25 < m.score("onlinecasino.example", "")
+    assert len(m.tokens("q" * 100_000 + "cheappills")) == 3  # a very long name, not remembered
+    assert all(len(k) <= urls.LONGEST for k in m._known)
+
+
+def every_split(name):
+    """All ways to cut a name into words, neighbours that are unknown being one word."""
+    if not name:
+        yield []
+    for k in range(1, len(name) + 1):
+        for rest in every_split(name[k:]):
+            yield [name[:k], *rest]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc", max_size=9))
+def test_segmentation_equals_trying_every_split(name):
+    m = urls.Model({"a": -2.0, "ab": -2.5, "bc": -3.0, "abc": -4.5, "cab": -3.5, "bb": -9.0})
+
+    def value(words):
+        return sum(m.unigram[w] if w in m.unigram else math.log(urls.UNKNOWN) - len(w) * math.log(26) for w in words)
+
+    assert value(m.segment(name)) == pytest.approx(max(map(value, every_split(name))))
+    assert "".join(m.segment(name)) == name
+
+
+def test_learned_url_model_equals_counting_by_hand(spark):
+    """Words come from texts, likelihoods from urls; Bayes is worked out in full."""
+    seen = ["http://redriver.com/a", "http://redriver.com/b", "http://redcasino.com/a", None, "x", "http://casinoriver.com/"]
+    pages = spark.createDataFrame([(u,) for u in seen], "url string").repartition(3)
+    docs = spark.createDataFrame([("red river River",), (None,), ("Red-river, blue!",)], "text string")
+    m = urls.train(pages, docs)
+    assert m.segment("redrivercasino") == ["red", "river", "casino"] and m.segment("bluered") == ["blue", "red"]
+    words = {u: m.tokens(u.split("://")[1]) if u and "://" in u else [] for u in seen}
+    block, allow = Counter(urls.BLOCKED), Counter(urls.ALLOWED)
+    for u in seen:
+        (block if "casino" in words[u] else allow).update(words[u])
+    nb, na = block.total(), allow.total()
+    mix = lambda c, n, w: (c[w] + urls.MIXED * (block[w] + allow[w]) / (nb + na)) / (n + urls.MIXED)
+    prior = (2 + urls.MIXED * urls.PRIOR) / (6 + urls.MIXED)
+    for u in ("http://redriver.com/", "http://casino.com/", "http://unheardof.com/red"):
+        odds = prior / (1 - prior)
+        for w in m.tokens(u.split("://")[1]):
+            if block[w] + allow[w]:
+                odds *= mix(block, nb, w) / mix(allow, na, w)
+        host, path = u.split("://")[1].split("/", 1)
+        assert m.score(host, path) == pytest.approx(odds / (1 + odds))
+    empty = urls.train(pages.limit(0), docs.limit(0))
+    assert empty.score("onlinecasino.example", "") == urls.LISTED.score("onlinecasino.example", "")
