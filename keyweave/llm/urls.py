@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from keyweave.llm.common import without
+from keyweave.llm.common import remove, shared_dir, stored, without
 
 # Example names of sites of either class. Urls with a word that only the first list has teach what else
 # comes with such words; the others teach what is ordinary.
@@ -119,15 +119,33 @@ def bayes(unigram: dict[str, float], block: dict[str, int], allow: dict[str, int
     return Model(unigram, {w: like(0, w) - like(1, w) for w in vocabulary}, math.log(prior / (1 - prior)))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of (w, n) with the largest n, in whole classes of about equal n (eighths of an octave): `most` rows at most.
+
+    Only the sizes of the classes reach the driver, some hundred numbers, however many tasks there are.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    bar, rows = 0, 0
+    for at, n in sizes:
+        rows += n
+        if rows > most:
+            bar = at + 1
+            break
+    return counts.where(level >= bar)
+
+
 def train(pages: DataFrame, docs: DataFrame, url_col: str = "url", text_col: str = "text") -> Model:
     """Unigrams from the words of all texts, and word likelihoods from all urls; null urls and texts have no words.
 
-    Urls with a word that only the block list has teach block, all others allow. Counts are folded in each task; the
-    VOCABULARY most frequent words reach the driver, nothing else. Empty tables leave the lists alone.
+    Urls with a word that only the block list has teach block, all others allow. Counts are folded in each task and
+    written to the shared folder; VOCABULARY of the most frequent words at most reach the driver, of urls so many of
+    either class. Empty tables leave the lists alone.
     """
+    base = shared_dir(pages.sparkSession)
     word = F.explode(F.split(F.lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), "[^a-z]+")).alias("w")
     words = docs.select(word).where(F.length("w").between(1, LETTERS)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    unigram = unigrams({r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()})
+    unigram = unigrams({r["w"]: r["n"] for r in frequent(stored(words, f"{base}/words"), VOCABULARY).collect()})
     shared = pages.sparkSession.sparkContext.broadcast(Model(unigram))
     host, path = url_parts(pages[url_col])
 
@@ -145,13 +163,12 @@ def train(pages: DataFrame, docs: DataFrame, url_col: str = "url", text_col: str
         yield _counted(found)
 
     counted = pages.select(host.alias("h"), path.alias("p")).mapInArrow(run, "block boolean, w string, n long")
-    counted = counted.groupBy("block", "w").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("w") != "", F.desc("n"), "w", "block").limit(VOCABULARY).collect()
-    of = {kind: {r["w"]: r["n"] for r in top if r["block"] is kind} for kind in (True, False)}
-    urls = tuple(of[k].pop("", 0) for k in (True, False))
-    rest = counted.where("w <> ''").groupBy("block").agg(F.sum("n").alias("n")).collect()
-    sizes = {r["block"]: r["n"] for r in rest}
-    return bayes(unigram, of[True], of[False], (sizes.get(True, 0), sizes.get(False, 0)), urls)
+    counted = stored(counted.groupBy("block", "w").agg(F.sum("n").alias("n")), f"{base}/tokens")
+    of = {k: {r["w"]: r["n"] for r in frequent(counted.where((F.col("block") == k) & (F.col("w") != "")), VOCABULARY).collect()} for k in (True, False)}
+    whole = {(r["block"], r["url"]): r["n"] for r in counted.groupBy("block", (F.col("w") == "").alias("url")).agg(F.sum("n").alias("n")).collect()}
+    remove(pages.sparkSession, base)
+    number = lambda url: (whole.get((True, url), 0), whole.get((False, url), 0))
+    return bayes(unigram, of[True], of[False], number(False), number(True))
 
 
 def _counted(found: Counter) -> pa.RecordBatch:

@@ -218,6 +218,13 @@ def test_segmentation_equals_trying_every_split(name):
     assert "".join(m.segment(name)) == name
 
 
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", i) for i in range(1, 200)], "w string, n long")
+    got = sorted(r.n for r in urls.frequent(counts, 60).collect())
+    assert 30 < len(got) <= 60 and got == list(range(200 - len(got), 200)) and urls.frequent(counts, 500).count() == 199
+    assert urls.frequent(counts.limit(0), 5).count() == 0
+
+
 def test_learned_url_model_equals_counting_by_hand(spark):
     """Words come from texts, likelihoods from urls; Bayes is worked out in full."""
     seen = ["http://redriver.com/a", "http://redriver.com/b", "http://redcasino.com/a", None, "x", "http://casinoriver.com/"]
