@@ -11,7 +11,13 @@ from keyweave.llm.minhash import near_duplicates
 from keyweave.llm.packing import packed
 from keyweave.llm.queries import TOKENIZER
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The columns of documents. A stage returns these; one that its input lacks is null, further ones are left behind.
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    have = {c.lower() for c in docs.columns}
+    return docs.select(*[docs[c] if c in have else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()])
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -24,6 +30,7 @@ def _only(docs: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
 
     Rows without an id are never in a group and stay.
     """
+    docs = _documents(docs)
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     some = docs.where("doc_id is not null").withColumn("text_sha256", digest).join(kept.where("kept").select(*on), on, "left_semi")
     same = Window.partitionBy("doc_id", "text_sha256").orderBy("lang", "source", "n_chars", "text")
@@ -34,13 +41,16 @@ def _only(docs: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules (9): documents that they reject go. Empty tables, nulls and ties: as quality_rules.judged says."""
     model = quality_rules.train(*_tables(spark, sf_dir))
-    return quality_rules.judged(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
+    return quality_rules.judged(_documents(docs), model).where("kept").select(*COLUMNS)
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier (4): documents that it rejects go. Null and empty texts are scored like any other."""
+    """Quality classifier (4): documents that it rejects go. Null and empty texts are scored like any other.
+
+    A score of exactly one half keeps; rows that repeat have one score and all stay; an empty table gives none.
+    """
     model = rule_ensemble.train(*_tables(spark, sf_dir))
-    return rule_ensemble.scored(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+    return rule_ensemble.scored(_documents(docs), model).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +67,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (7): every kept document in sequences of 2048 tokens; one row per piece."""
+    """Packing (7): every kept document in sequences of 2048 tokens; one row per piece.
+
+    Null and empty texts are one token, rows that repeat are documents of their own, null ids stay, an empty table gives
+    none; pieces of one length go in the order of their ids.
+    """
     return packed(docs, TOKENIZER)
 
 

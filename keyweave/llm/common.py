@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,12 +15,10 @@ BITMAP_BITS = 1 << 22
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is unset, as in local tests, a temporary folder takes its place.
+    Where that setting is unset, the warehouse takes its place, which is shared too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="keyweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/keyweave-{uuid.uuid4().hex}"
 
 

@@ -46,8 +46,8 @@ def counts(raw: bytes, n_chars: int, words: list[bytes], hashes: np.ndarray) ->
     return n, n_chars - sum(raw.count(b) for b in BLANKS), sum(raw.count(b) for b in SYMBOLS), len(lines) - len(set(lines)), repeated
 
 
-def grams(raw: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of word 1- and 2-grams and of byte 3-grams of a text.
+def grams(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of word 1- and 2-grams and of character 3-grams of a text.
 
     A 2-gram of one word twice is one gram whatever the word, so a repeated new word is seen as a repetition.
     """
@@ -55,12 +55,28 @@ def grams(raw: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.where(first == second, np.uint64(1), first * _ODD + second)
     top = lambda x, bits: ((x * _ODD) >> np.uint64(64 - bits)).astype(np.int32)
     word = np.concatenate([top(hashes, WORD_BITS), top(pairs ^ (pairs >> np.uint64(29)), WORD_BITS)])
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    tri = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:] if len(b) > 2 else np.empty(0, np.uint32)
+    b = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    # A character's place in the mixture is its own, so those beyond the first 256 don't fall together.
+    tri = (b[:-2] * np.uint32(0x10000) + b[1:-1] * np.uint32(0x101) + b[2:]) if len(b) > 2 else np.empty(0, np.uint32)
     char = ((tri * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)).astype(np.int32)
     return word, char
 
 
+def profile(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(buckets of both kinds, shares of the text's grams of a kind in them, whether the text is held back for calibration).
+
+    As long as there are buckets at most, however long the text.
+    """
+    raw = text.encode()
+    word, char = grams(text, word_hashes(raw.split()))
+    at, share = [], []
+    for x, base in ((word, 0), (char, 1 << WORD_BITS)):
+        u, k = np.unique(x, return_counts=True)
+        at.append(u + base)
+        share.append(k / max(len(x), 1))
+    return np.concatenate(at).astype(np.int32), np.concatenate(share).astype(np.float32), xxhash.xxh3_64_intdigest(raw) % 5 == 0
+
+
 @dataclass
 class Model:
     word: np.ndarray
@@ -69,8 +85,8 @@ class Model:
     slope: float  # Platt's calibration: probability = sigmoid(slope * score + shift)
     shift: float
 
-    def score(self, raw: bytes, hashes: np.ndarray) -> float:
-        word, char = grams(raw, hashes)
+    def score(self, text: str, hashes: np.ndarray) -> float:
+        word, char = grams(text, hashes)
         return self.bias + (float(self.word[word].mean()) if len(word) else 0.0) + (float(self.char[char].mean()) if len(char) else 0.0)
 
     def probability(self, score: float) -> float:
@@ -81,8 +97,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(rows: list[tuple[int, bytes]], rounds: int = 120, rate: float = 1.0, decay: float = 1e-5) -> Model:
-    """Full-batch Adam on the mean n-gram weights, then Platt scaling on a fifth of the rows held back.
+def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int = 120, rate: float = 1.0, decay: float = 1e-5) -> Model:
+    """Full-batch Adam on the mean n-gram weights of (label, profile), then Platt scaling on a fifth of the rows held back.
 
     Without rows, or with one label only, the model is that label's rate (one half without rows) for any text.
     """
@@ -91,16 +107,10 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 120, rate: float = 1.0, dec
     if len(set(labels.tolist())) < 2:
         rate1 = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
         return Model(np.zeros(sizes[0], np.float32), np.zeros(sizes[1], np.float32), 0.0, 0.0, float(np.log(rate1 / (1 - rate1))))
-    parts = []
-    for _, raw in rows:
-        w, c = grams(raw, word_hashes(raw.split()))
-        for x, base in ((w, 0), (c, sizes[0])):
-            u, k = np.unique(x, return_counts=True)
-            parts.append((u + base, (k / max(len(x), 1)).astype(np.float32)))
-    col = np.concatenate([u for u, _ in parts])
-    val = np.concatenate([v for _, v in parts])
-    row = np.repeat(np.repeat(np.arange(len(rows)), 2), [len(u) for u, _ in parts])
-    back = np.array([xxhash.xxh3_64_intdigest(raw) % 5 == 0 for _, raw in rows])
+    col = np.concatenate([at for _, (at, _, _) in rows])
+    val = np.concatenate([share for _, (_, share, _) in rows])
+    row = np.repeat(np.arange(len(rows)), [len(at) for _, (at, _, _) in rows])
+    back = np.array([held for _, (_, _, held) in rows])
     if len(set(labels[back].tolist())) < 2 or len(set(labels[~back].tolist())) < 2:
         back[:] = False
     teach = ~back
@@ -134,10 +144,23 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 120, rate: float = 1.0, dec
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    """Fit on a bounded sample of labelled, not held-out rows of docs (doc_id, text)."""
-    rows = labelled(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw")), labels, most)
-    got = sorted((tuple(r) for r in rows.select("doc_id", "quality", "raw").collect()))
-    return fit([(q, bytes(raw)) for _, q, raw in got])
+    """Fit on a bounded sample of labelled, not held-out rows of docs (doc_id, text).
+
+    Profiles are made where the rows are, so what reaches the driver is bounded in rows and in bytes of each.
+    """
+    rows = labelled(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), labels, most).select("doc_id", "quality", "text")
+    found = rows.mapInArrow(_profiles, "doc_id long, quality int, at binary, share binary, held boolean").collect()
+    got = sorted((r.doc_id, r.quality, bytes(r["at"]), bytes(r["share"]), r.held) for r in found)
+    return fit([(q, (np.frombuffer(at, np.int32), np.frombuffer(share, np.float32), held)) for _, q, at, share, held in got])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            made = [profile(t.as_py() or "") for t in part.column(2)]
+            cols = [pa.array([at.tobytes() for at, _, _ in made], pa.binary()), pa.array([s.tobytes() for _, s, _ in made], pa.binary()), pa.array([bool(h) for _, _, h in made])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], names=["doc_id", "quality", "at", "share", "held"])
 
 
 _OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -170,7 +193,7 @@ def judged(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col
                     c = counts(raw, len(text), words, hashes)
                     found.append(c)
                     failed.append(c[0] < 50 or 100 * c[4] > 50 * c[0])
-                    prob.append(m.probability(m.score(raw, hashes)))
+                    prob.append(m.probability(m.score(text, hashes)))
                 kept = [not f and p >= threshold for f, p in zip(failed, prob, strict=True)]
                 cols = [pa.array([c[k] for c in found], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols, pa.array(failed), pa.array(prob, pa.float64()), pa.array(kept)], names=[*keep, *new])

@@ -40,6 +40,20 @@ def test_rules_and_classifier_keep_clean_and_drop_junk(spark, stage):
     assert sum((r.doc_id in ids) == bool(quality[r.doc_id]) for r in long) >= 0.98 * len(long)
 
 
+def test_stages_take_missing_and_further_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three", "x", 5), (2, None, "y", 6), (2, "one two three", "z", 7)], "doc_id long, text string, kept string, N_CHARS long")
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == list(cp.COLUMNS) and {r.lang for r in got.collect()} <= {None}
+
+
+def test_packing_stage_takes_edge_rows(spark):
+    docs = spark.createDataFrame([*EDGE, EDGE[0]], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = cp.pack(spark, docs, SF).collect()
+    assert sorted((r.doc_id for r in got if r.start == 0), key=str) == sorted((e[0] for e in [*EDGE, EDGE[0]]), key=str)
+    assert [r.doc_tokens for r in got if r.doc_id == -1] == [1, 1] and cp.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def test_first_stages_take_edge_rows(spark):
     docs = spark.createDataFrame(EDGE, spark.read.parquet(f"{SF}/documents.parquet").schema)
     for stage in (cp.keep_by_rules, cp.keep_by_classifier):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyweave.llm import quality_rules as qr, rule_ensemble as re_, training
 
@@ -37,6 +38,17 @@ def test_held_out_and_sample(spark):
     ids = [r.doc_id for r in training.labelled(docs, lab, 10_000).collect()]
     assert sorted(ids) == [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     assert len(training.labelled(docs, lab, 20).collect()) == 20
+    # rows that repeat an id, and labels that repeat, don't lift the bound
+    again = docs.where("doc_id = 0").withColumn("text", F.lit("a"))
+    many = training.labelled(docs.unionByName(again).unionByName(docs), lab.unionByName(lab), 10_000).collect()
+    assert sorted(r.doc_id for r in many) == sorted(ids) and {r.text for r in many if r.doc_id == 0} == {"a"}
+
+
+def test_profiles_are_bounded_and_tell_characters_apart():
+    at, share, _ = qr.profile(" ".join(chr(0x4E00 + i % 20_000) + str(i) for i in range(300_000)))
+    assert len(at) <= (1 << qr.WORD_BITS) + (1 << qr.CHAR_BITS) and share.sum() == pytest.approx(2, rel=1e-3)
+    one, two = (set(qr.profile(t)[0].tolist()) for t in ("漢字漢", "字漢字"))
+    assert one != two and len(qr.profile("")[0]) == 0
 
 
 def brute_counts(text):
