@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,8 +23,14 @@ K = 1 << BUCKET_BITS
 BANDS, ROWS = 88, 8
 #: A pair goes to the exact check unless its estimate lies so many standard errors below the threshold.
 SIGMAS = 5.5
-#: Documents of a bucket whose unconnected pairs are rows; more are compared in blocks of about BLOCK documents.
-CROWD, BLOCK = 8, 512
+#: A bucket's pairs of unconnected documents are compared as they are if there are so many for each of its documents at
+#: most; else its documents are dealt by the prefixes of their sets. There, LEADERS documents of a bucket with more pairs
+#: are compared with all of it in a round, twice as many in the next.
+SPARSE, LEADERS = 8, 8
+#: Rows of one key that a task pairs at most with a bucket's lesser components, and counters of the shingle sketch.
+SPLIT, COUNTERS = 4096, 1 << 18
+#: Rows sketched together; buckets are folded inside such a batch.
+BATCH = 4096
 
 
 def _tables():
@@ -118,6 +123,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
     return (max(0.0, same - expected_collisions(n, m)) / used if used else 0.0), used
 
 
+def promising(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles with these registers may reach the threshold."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    est, used = estimate(a, b, n, m)
+    p = percent / 100
+    return est >= p - SIGMAS * (p * (1 - p) / max(used, 1)) ** 0.5
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a & b| >= percent * |a | b|, on sorted distinct arrays."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -126,42 +140,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def joined(sets: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect different parts: an exact prefix-filter join of one block of sets.
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets that reach the threshold share one of these.
 
-    Elements are ordered rarest first. Two sets that reach the threshold share an element of a short prefix, and
-    where it stands bounds their overlap; what passes is compared in full. Pairs already connected are skipped.
+    Similar sets share percent / 100 of either set's shingles at least; so in any order that is the same for all sets,
+    the shingles before the last that many, and the first of those, can't all be foreign to the other set's.
     """
-    values, inverse, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(values), np.int64)
-    place[np.lexsort((values, freq))] = np.arange(len(values))
-    ranked = [np.sort(x) for x in np.split(place[inverse], np.cumsum([len(s) for s in sets])[:-1])]
-    head: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while head.setdefault(x, x) != x:
-            head[x] = x = head[head[x]]
-        return x
-
-    index: dict[int, list[tuple[int, int]]] = {}
-    links = []
-    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n, seen = len(ranked[x]), set()
-        least = -(-percent * n // 100)
-        for i, token in enumerate(ranked[x][: n - least + 1].tolist()):
-            for y, j in index.get(token, ()):
-                if y in seen:
-                    continue
-                seen.add(y)
-                m = len(ranked[y])
-                if m < least or 1 + min(n - i - 1, m - j - 1) < -(-percent * (n + m) // (100 + percent)) or top(parts[x]) == top(parts[y]):
-                    continue
-                if similar(ranked[x], ranked[y], percent):
-                    links.append((x, y))
-                    head[top(parts[x])] = top(parts[y])
-        for j, token in enumerate(ranked[x][: n - -(-2 * percent * n // (100 + percent)) + 1].tolist()):
-            index.setdefault(token, []).append((x, j))
-    return links
+    n = len(shingles)
+    rarest = np.lexsort((shingles, counts[(shingles >> np.uint64(20)).astype(np.int64) & (len(counts) - 1)]))
+    return shingles[rarest[: n - -(-percent * n // 100) + 1]]
 
 
 _FEATURES = "doc_id long, n_shingles long, fp binary, sketch binary, lead array<long>, lead_n array<int>, member array<long>, links array<long>"
@@ -171,7 +158,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", p
 
 def _sketch(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1)
             sets = [shingle_set(words_of(t.as_py()), n) for t in texts]
@@ -204,7 +191,7 @@ def _sketch(n: int, percent: int):
                 size[order[run_at]] = count
                 pairs = {(int(a), int(b)) for a, b in zip(leads[leads != order] // BANDS, order[leads != order] // BANDS, strict=True)}
                 for a, b in sorted(pairs):
-                    if similar(sets[kept[a]], sets[kept[b]], percent):
+                    if promising(regs[a], regs[b], len(sets[kept[a]]), len(sets[kept[b]]), percent) and similar(sets[kept[a]], sets[kept[b]], percent):
                         rows[kept[b]][7].append(ids[kept[a]])
                 is_lead, size = is_lead.reshape(keys.shape), size.reshape(keys.shape)
                 for at, key, lead, k in zip(kept, keys, is_lead, size, strict=True):
@@ -220,12 +207,8 @@ def _promising(percent: int):
             cols = batch.to_pydict()
             go = []
             for n, m, x, y, same in zip(cols["na"], cols["nb"], cols["sa"], cols["sb"], cols["same"], strict=True):
-                if same or x is None or y is None or 100 * min(n, m) < percent * max(n, m):
-                    go.append(bool(same))
-                    continue
-                est, used = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m)
-                p = percent / 100
-                go.append(est >= p - SIGMAS * (p * (1 - p) / max(used, 1)) ** 0.5)
+                # Of sets that are equal one in a batch has no sketch; its pairs with others come from the one that has.
+                go.append(bool(same) or x is not None and y is not None and promising(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m, percent))
             yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("a", "b", "same")}, schema=_PAIR).filter(pa.array(go, pa.bool_()))
 
     return run
@@ -292,41 +275,59 @@ def components(links: DataFrame, base: str) -> DataFrame:
             remove(spark, f"{base}/{old}")
 
 
-def _block_join(n: int, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, parts = rows["id"].tolist(), rows["c"].tolist()
-        found = joined([shingle_set(words_of(t), n) for t in rows["text"]], parts, percent)
-        return pd.DataFrame([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], columns=["a", "b"], dtype="int64")
+def _sums(members: DataFrame) -> DataFrame:
+    """Of each key with several components (key, rows, minor, crowded): rows, its largest component, and whether there are
+    more than SPARSE pairs of unconnected documents for each row. Folded on the map side."""
+    per = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    sums = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("c", F.struct("k", "c")).alias("big"))
+    return sums.where("cs > 1").select("key", "rows", "big", (F.col("rows") * F.col("rows") - F.col("sq") > 2 * SPARSE * F.col("rows")).alias("crowded"))
 
-    return run
 
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), a < b, of documents of two components that share a key: left is the lesser part, right holds all rows.
+
+    A key's right rows are split into parts of about SPLIT; left rows are repeated for each part.
+    """
+    parts = F.ceil(F.col("rows") / SPLIT).cast("int")
+    one = left.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("x"), F.col("c").alias("cx"))
+    other = right.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("y"), F.col("c").alias("cy"))
+    both = one.join(other, ["key", "part"]).where("cx <> cy")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
-def _crowds(placed: DataFrame, per: DataFrame, crowded: DataFrame, docs: DataFrame, n: int, percent: int, base: str) -> DataFrame:
-    """Links between different components inside crowded buckets, without a row for each pair.
 
-    Components that meet in a crowded bucket form a crowd. A crowd is dealt into blocks of about BLOCK documents, a
-    component that fills blocks alone into blocks of its own; each pair of blocks that holds more than one component
-    is one task with an exact join. Documents of one component are never compared, so rows grow with a crowd's
-    size times the blocks of the components it isn't part of.
+def _rarest(docs: DataFrame, crowd: DataFrame, n: int, percent: int, base: str) -> DataFrame:
+    """(id, key, c) of the documents in crowd (id, c): a key for each shingle of the prefix of a document's set.
+
+    The order of shingles is that of their counts over the crowd, as a sketch of COUNTERS counters knows them; the
+    sketch is all that the driver sees, and its mistakes only make prefixes less rare.
     """
-    meet = per.join(crowded, "key").where("c <> big").select(F.col("big").alias("a"), F.col("c").alias("b")).distinct()
-    crowd = stored(components(meet, f"{base}/crowds").select(F.col("doc_id").alias("c"), F.col("root").alias("g")), f"{base}/crowd")
-    members = placed.join(crowded.select("key"), "key", "left_semi").select("id", "c").distinct().join(crowd, "c", "left").withColumn("g", F.coalesce("g", "c"))
-    members = stored(members, f"{base}/members")
-    sizes = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") < BLOCK).groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("small"))
-    sizes = sizes.join(small, "g", "left").select("c", "n", "small")
-    alone = F.col("n") >= BLOCK
-    block = F.when(alone, F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))).otherwise(F.pmod(F.xxhash64("c"), F.col("small")))
-    dealt = stored(members.join(sizes, "c").select("g", "id", "c", block.alias("block"), F.when(alone, F.col("c")).alias("pure")), f"{base}/dealt")
-    blocks = dealt.select("g", "block", "pure").distinct()
-    left, right = blocks.toDF("g", "l", "pl"), blocks.toDF("g", "r", "pr")
-    pairs = left.join(right, "g").where("l <= r and not coalesce(pl = pr, false)").select("g", "l", "r")
-    into = pairs.select("g", F.col("l").alias("block"), "l", "r").union(pairs.where("l <> r").select("g", "r", "l", "r"))
-    texts = prefiltered(docs, "doc_id", dealt.select("id")).select(F.col("doc_id").alias("id"), "text")
-    rows = dealt.select("g", "id", "c", "block").join(texts, "id").join(into, ["g", "block"])
-    return rows.groupBy("g", "l", "r").applyInPandas(_block_join(n, percent), "a long, b long")
+    spark = docs.sparkSession
+    texts = stored(prefiltered(docs, "doc_id", crowd.select("id")).join(crowd, F.col("doc_id") == F.col("id")).select("id", "c", "text"), f"{base}/crowd")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                slots = (shingle_set(words_of(t.as_py()), n) >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+                np.add.at(total, slots, 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(held, pa.int64()), "n": pa.array(total[held], pa.int64())})
+
+    sketch = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTERS, np.int64)
+    found = sketch.toPandas()
+    counts[found["slot"]] = found["n"]
+    shared = spark.sparkContext.broadcast(counts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [prefix(shingle_set(words_of(t.as_py()), n), shared.value, percent) for t in batch.column(2)]
+            size = [len(k) for k in keys]
+            at = pa.array(np.repeat(np.arange(len(keys)), size))
+            flat = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(flat), batch.column(1).take(at)], names=["id", "key", "c"])
+
+    return stored(texts.mapInArrow(deal, "id long, key long, c long"), f"{base}/rarest")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,11 +339,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        checked at once; the band index goes to the shared folder.
     2. Across batches each document is checked against the bucket leader (smallest member) that it shares most
        buckets with. Links give components.
-    3. Every remaining pair of one bucket that lies in two components is checked too, so nothing that shares a
-       band is left out; pairs already connected need no check. In buckets of up to CROWD documents these are
-       pairs; larger ones are joined block by block (_crowds).
+    3. Every remaining pair of one bucket that lies in two components is a candidate too; pairs already connected need
+       no check. Where a bucket has more than SPARSE such pairs a document, as many texts with one common passage have,
+       its documents are dealt anew, by the rarest shingles of their sets (an exact way: similar sets share one), and
+       step 3 is done there. Buckets that still have more pairs go in rounds: leaders are compared with the whole
+       bucket and leave it, and what they link lies in one component in the next.
+    Each candidate passes the estimate and then the check on full sets, wherever it comes from.
     Null or blank texts and null ids are linked with nothing; a null id has a null component_id and stays. Rows
-    that repeat an id share a component. Other columns are ignored; an empty table gives an empty result.
+    that repeat an id share a component, whatever their texts. Other columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
@@ -362,18 +367,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = near.union(links)
     root = components(links, f"{base}/comp1")
 
-    placed = live.select("id", "key").join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("c"))
-    placed = stored(placed, f"{base}/placed")
-    per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("rows"), F.max_by("c", "k").alias("big")).where("cs > 1")
-    mixed = stored(mixed, f"{base}/mixed")
-    split = placed.join(mixed.where(F.col("rows") <= CROWD).select("key"), "key", "left_semi").select("id", "key", "c")
-    cross = split.toDF("a", "key", "ca").join(split.toDF("b", "key", "cb"), "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    cross = stored(cross, f"{base}/cross")
-    few = _links(cross, feats, docs, n, percent, f"{base}/two")
-    crowds = _crowds(placed, per, mixed.where(F.col("rows") > CROWD).select("key", "big"), docs, n, percent, base)
-    more = stored(few.union(crowds), f"{base}/more")
-    if not more.isEmpty():
-        root = components(root.select(F.col("root").alias("a"), F.col("doc_id").alias("b")).union(more), f"{base}/comp2")
+    members, step, leaders = live.select("id", "key"), 0, 0
+    while members is not None:
+        step += 1
+        at = f"{base}/step{step}"
+        members = members.join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("c"))
+        members = stored(members.distinct(), f"{at}/members")
+        sums = stored(_sums(members), f"{at}/sums")
+        crowds, weight = sums.agg(F.count_if("crowded"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if not weight:
+            break
+        mixed = stored(even_lookup(members, sums, ["key"], "rows", weight).where("rows is not null"), f"{at}/mixed")
+        few = mixed.where("not crowded")
+        pairs = _met(few.where("c <> big"), few)
+        crowded = mixed.where("crowded")
+        if leaders and crowds:
+            place = F.row_number().over(Window.partitionBy("key", "salt").orderBy("rank", "id"))
+            first = crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.xxhash64("id", "key")).withColumn("_at", place).where(F.col("_at") <= leaders)
+            place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
+            first = stored(first.withColumn("_at", place).where(F.col("_at") <= leaders).select("id", "key", "c", "rows"), f"{at}/leaders")
+            pairs = pairs.union(_met(first, crowded)).distinct()
+        found = _links(stored(pairs, f"{at}/pairs"), feats, docs, n, percent, at)
+        if not found.isEmpty():
+            root = components(root.select(F.col("root").alias("a"), F.col("doc_id").alias("b")).union(found), f"{at}/comp")
+        if not crowds:
+            break
+        if not leaders:
+            ids = crowded.select("id").distinct()
+            now = ids.join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"))
+            members, leaders = _rarest(docs, now, n, percent, at).select("id", "key"), LEADERS
+        else:
+            members, leaders = crowded.select("id", "key").join(first.select("id", "key"), ["id", "key"], "left_anti"), 2 * leaders
     out = feats.select("doc_id", "n_shingles").join(root, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))

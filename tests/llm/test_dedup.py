@@ -76,15 +76,55 @@ def test_chains_equal_brute_force(spark):
     assert got == {i: c for i, (_, c, _) in brute_components(rows, 4).items()}
 
 
-def test_crowds_equal_brute_force(spark, monkeypatch):
-    """Every mixed bucket goes through blocks, and blocks are tiny."""
-    monkeypatch.setattr(mh, "CROWD", 1)
-    monkeypatch.setattr(mh, "BLOCK", 6)
+@pytest.mark.parametrize("sparse", [0, 1])
+def test_crowds_equal_brute_force(spark, monkeypatch, sparse):
+    """All mixed buckets, or those with a few pairs, go through prefixes and then through rounds of single leaders."""
+    monkeypatch.setattr(mh, "SPARSE", sparse)
+    monkeypatch.setattr(mh, "LEADERS", 1)
+    monkeypatch.setattr(mh, "SPLIT", 3)
+    monkeypatch.setattr(mh, "BATCH", 5)
     rows = corpus(3, 120)
     got = {r.doc_id: r.component_id for r in mh.near_duplicates(docs(spark, rows).repartition(11), 4).collect()}
     assert got == {i: c for i, (_, c, _) in brute_components(rows, 4).items()}
 
 
+def test_recall_of_bands_and_estimate():
+    """Pairs at the threshold: each shares a band, and none is lost by the estimate."""
+    r = np.random.default_rng(3)
+    found = total = 0
+    for union in (5, 10, 40, 150, 600):
+        for _ in range(300):
+            both, own = r.integers(0, 2**63, union * 4 // 5, dtype=np.uint64), r.integers(0, 2**63, union - union * 4 // 5, dtype=np.uint64)
+            cut = r.integers(0, len(own) + 1)
+            a, b = np.unique(mh._mix(np.r_[both, own[:cut]])), np.unique(mh._mix(np.r_[both, own[cut:]]))
+            assert mh.similar(a, b, 80)
+            ra, rb = mh.registers(a), mh.registers(b)
+            ka, kb = mh.band_keys(np.stack([mh.densified(ra), mh.densified(rb)]))
+            found += bool((ka == kb).any()) and mh.promising(ra, rb, len(a), len(b), 80)
+            total += 1
+    assert found >= total - 1
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 4, 1 << 10)
+    for _ in range(500):
+        n = int(r.integers(1, 40))
+        base = r.integers(0, 2**63, 60, dtype=np.uint64)
+        a, b = (np.unique(r.choice(base, n, replace=False)) for _ in range(2))
+        if r.random() < 0.7:
+            b = np.unique(np.r_[a[r.random(len(a)) < 0.93], b[: len(b) // 10], a[:1]])
+        if mh.similar(a, b, 80):
+            assert len(np.intersect1d(mh.prefix(a, counts, 80), mh.prefix(b, counts, 80)))
+
+
+def test_one_id_with_several_texts_links_all_of_them(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, two), (1, one + " c"), (9, two + " c"), (7, "z " * 9)]
+    got = {r.doc_id: r.component_id for r in mh.near_duplicates(docs(spark, rows).repartition(5), 4).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 7: 7}
+
+
 def test_near_duplicates_edge_rows(spark):
     same = [(None, "a b c d e"), (9, "a b c d e"), (9, "a b c d e"), (3, "a b c d e"), (4, None), (5, "x " * 30000)]
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in mh.near_duplicates(docs(spark, same), 4).collect())
@@ -92,18 +132,6 @@ def test_near_duplicates_edge_rows(spark):
     assert mh.near_duplicates(docs(spark, []), 4).collect() == []
 
 
-def test_joined_finds_connecting_links():
-    r = np.random.default_rng(0)
-    base = np.sort(r.choice(10_000, 60, replace=False)).astype(np.uint64)
-    sets = [np.unique(np.where(r.random(60) < p, r.integers(0, 10_000, 60).astype(np.uint64), base)) for p in (0, 0.02, 0.05, 0.1, 0.2, 0.3) for _ in range(6)]
-    links = {(a, b) for a in range(36) for b in range(a) if mh.similar(sets[a], sets[b], 80)}
-    root = list(range(36))
-    for a, b in sorted(mh.joined(sets, list(range(36)), 80)):
-        assert (max(a, b), min(a, b)) in links
-        root = [root[b] if x == root[a] else x for x in root]
-    assert all(root[a] == root[b] for a, b in links)
-
-
 def test_estimate_is_close():
     r = np.random.default_rng(1)
     errors = []
