@@ -25,8 +25,8 @@ BANDS, ROWS = 88, 8
 SIGMAS = 5.5
 #: A bucket's pairs of unconnected documents are compared as they are if there are so many for each of its documents at
 #: most; else its documents are dealt by the prefixes of their sets. There, LEADERS documents of a bucket with more pairs
-#: are compared with all of it in a round, twice as many in the next.
-SPARSE, LEADERS = 8, 8
+#: are compared with all of it in a round, eight times as many in the next.
+SPARSE, LEADERS = 8, 64
 #: Rows of one key that a task pairs at most with a bucket's lesser components, and counters of the shingle sketch.
 SPLIT, COUNTERS = 4096, 1 << 18
 #: Rows sketched together; buckets are folded inside such a batch.
@@ -140,15 +140,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets that reach the threshold share one of these.
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, and how many of them are the first prefix.
 
-    Similar sets share percent / 100 of either set's shingles at least; so in any order that is the same for all sets,
-    the shingles before the last that many, and the first of those, can't all be foreign to the other set's.
+    In an order that is the same for all sets, the first shingle that two sets share is followed by all others that they
+    share. Similar sets share percent / 100 of the larger one's shingles at least, and 2 * percent / (100 + percent) of
+    the smaller one's; so that shingle is in the prefix of the larger set and in the shorter, first one of the smaller.
     """
     n = len(shingles)
     rarest = np.lexsort((shingles, counts[(shingles >> np.uint64(20)).astype(np.int64) & (len(counts) - 1)]))
-    return shingles[rarest[: n - -(-percent * n // 100) + 1]]
+    return shingles[rarest[: n - -(-percent * n // 100) + 1]], n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 _FEATURES = "doc_id long, n_shingles long, fp binary, sketch binary, lead array<long>, lead_n array<int>, member array<long>, links array<long>"
@@ -276,33 +277,40 @@ def components(links: DataFrame, base: str) -> DataFrame:
 
 
 def _sums(members: DataFrame) -> DataFrame:
-    """Of each key with several components (key, rows, minor, crowded): rows, its largest component, and whether there are
-    more than SPARSE pairs of unconnected documents for each row. Folded on the map side."""
-    per = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    sums = per.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("c", F.struct("k", "c")).alias("big"))
-    return sums.where("cs > 1").select("key", "rows", "big", (F.col("rows") * F.col("rows") - F.col("sq") > 2 * SPARSE * F.col("rows")).alias("crowded"))
+    """Of each key with pairs of documents of different components, one of them first: (key, rows, big, crowded), big being
+    its largest component, crowded whether there are more than SPARSE such pairs for each row. Folded on the map side."""
+    per = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("first").alias("f"))
+    sums = per.groupBy("key").agg(F.sum("k").alias("rows"), F.sum("f").alias("firsts"), F.sum(F.col("k") * F.col("f")).alias("same"), F.max_by("c", F.struct("k", "c")).alias("big"))
+    pairs = F.col("rows") * F.col("firsts") - F.col("same")
+    return sums.where(pairs > 0).select("key", "rows", "big", (pairs > 2 * SPARSE * F.col("rows")).alias("crowded"))
 
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b), a < b, of documents of two components that share a key: left is the lesser part, right holds all rows.
+def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of documents of two components that share a key and may be similar by what is known of their places.
 
-    A key's right rows are split into parts of about SPLIT; left rows are repeated for each part.
+    A key's right rows are split into parts of about SPLIT; left rows, which are few, are repeated for each part. Where
+    keys are shingles, the smaller set must have its in the shorter prefix (`first`), and what follows in both sets must
+    suffice for the threshold; for the first shingle that similar sets share, both hold. Bands have no places (n = 0).
     """
     parts = F.ceil(F.col("rows") / SPLIT).cast("int")
-    one = left.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("x"), F.col("c").alias("cx"))
-    other = right.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("y"), F.col("c").alias("cy"))
-    both = one.join(other, ["key", "part"]).where("cx <> cy")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+    columns = ["id", "c", "place", "n", "first"]
+    one = left.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.struct(*columns).alias("x"))
+    other = right.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct(*columns).alias("y"))
+    both = one.join(other, ["key", "part"]).where("x.c <> y.c").select(F.expr("IF(x.n < y.n OR x.n = y.n AND x.id < y.id, x, y)").alias("s"), F.expr("IF(x.n < y.n OR x.n = y.n AND x.id < y.id, y, x)").alias("l"))
+    enough = f"100 * s.n >= {percent} * l.n AND least(s.n - s.place, l.n - l.place) * {100 + percent} >= {percent} * (s.n + l.n)"
+    fits = both.where(f"l.n = 0 OR s.first AND {enough}")
+    return fits.select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).where("a < b").distinct()
 
 
 def _rarest(docs: DataFrame, crowd: DataFrame, n: int, percent: int, base: str) -> DataFrame:
-    """(id, key, c) of the documents in crowd (id, c): a key for each shingle of the prefix of a document's set.
+    """(id, key, place, n, first) of the documents in crowd (id): a key for each shingle of the prefix of a document's set,
+    its place there, the size of the set, and whether it is in the first prefix.
 
     The order of shingles is that of their counts over the crowd, as a sketch of COUNTERS counters knows them; the
     sketch is all that the driver sees, and its mistakes only make prefixes less rare.
     """
     spark = docs.sparkSession
-    texts = stored(prefiltered(docs, "doc_id", crowd.select("id")).join(crowd, F.col("doc_id") == F.col("id")).select("id", "c", "text"), f"{base}/crowd")
+    texts = stored(prefiltered(docs, "doc_id", crowd.select("id")).join(crowd, F.col("doc_id") == F.col("id")).select("id", "text"), f"{base}/crowd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -321,13 +329,16 @@ def _rarest(docs: DataFrame, crowd: DataFrame, n: int, percent: int, base: str)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [prefix(shingle_set(words_of(t.as_py()), n), shared.value, percent) for t in batch.column(2)]
-            size = [len(k) for k in keys]
-            at = pa.array(np.repeat(np.arange(len(keys)), size))
-            flat = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(flat), batch.column(1).take(at)], names=["id", "key", "c"])
+            sets = [shingle_set(words_of(t.as_py()), n) for t in batch.column(1)]
+            keys = [prefix(s, shared.value, percent) for s in sets]
+            size = [len(k) for k, _ in keys]
+            at = np.repeat(np.arange(len(keys)), size)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            flat = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in keys]]).view(np.int64)
+            whole, first = (np.array(x, np.int64)[at] for x in ([len(s) for s in sets], [f for _, f in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, (flat, place, whole, place < first))], names=["id", "key", "place", "n", "first"])
 
-    return stored(texts.mapInArrow(deal, "id long, key long, c long"), f"{base}/rarest")
+    return stored(texts.mapInArrow(deal, "id long, key long, place long, n long, first boolean"), f"{base}/rarest")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,9 +352,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        buckets with. Links give components.
     3. Every remaining pair of one bucket that lies in two components is a candidate too; pairs already connected need
        no check. Where a bucket has more than SPARSE such pairs a document, as many texts with one common passage have,
-       its documents are dealt anew, by the rarest shingles of their sets (an exact way: similar sets share one), and
-       step 3 is done there. Buckets that still have more pairs go in rounds: leaders are compared with the whole
-       bucket and leave it, and what they link lies in one component in the next.
+       its documents are dealt anew, by the rarest shingles of their sets (an exact way: similar sets share one, early
+       in both), and step 3 is done there. Buckets that still have more pairs go in rounds: leaders are compared with the
+       whole bucket and lead no more, and what they link lies in one component in the next.
     Each candidate passes the estimate and then the check on full sets, wherever it comes from.
     Null or blank texts and null ids are linked with nothing; a null id has a null component_id and stays. Rows
     that repeat an id share a component, whatever their texts. Other columns are ignored; an empty table gives an empty
@@ -367,36 +378,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = near.union(links)
     root = components(links, f"{base}/comp1")
 
-    members, step, leaders = live.select("id", "key"), 0, 0
-    while members is not None:
+    members = live.select("id", "key", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("first"))
+    step, leaders, columns = 0, 0, members.columns
+    while True:
         step += 1
         at = f"{base}/step{step}"
-        members = members.join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("c"))
-        members = stored(members.distinct(), f"{at}/members")
+        members = members.join(root.withColumnRenamed("doc_id", "id"), "id", "left").select(*columns, F.coalesce("root", "id").alias("c"))
+        members = stored(members, f"{at}/members")
         sums = stored(_sums(members), f"{at}/sums")
         crowds, weight = sums.agg(F.count_if("crowded"), F.coalesce(F.sum("rows"), F.lit(0))).first()
         if not weight:
             break
         mixed = stored(even_lookup(members, sums, ["key"], "rows", weight).where("rows is not null"), f"{at}/mixed")
-        few = mixed.where("not crowded")
-        pairs = _met(few.where("c <> big"), few)
-        crowded = mixed.where("crowded")
+        few, crowded = mixed.where("not crowded"), mixed.where("crowded")
+        # Of each pair one is first. Either that one lies outside the key's largest component, or the other one does.
+        pairs = _met(few.where("first and c <> big"), few, percent).union(_met(few.where("not first and c <> big"), few.where("first and c = big"), percent))
         if leaders and crowds:
-            place = F.row_number().over(Window.partitionBy("key", "salt").orderBy("rank", "id"))
-            first = crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.xxhash64("id", "key")).withColumn("_at", place).where(F.col("_at") <= leaders)
-            place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
-            first = stored(first.withColumn("_at", place).where(F.col("_at") <= leaders).select("id", "key", "c", "rows"), f"{at}/leaders")
-            pairs = pairs.union(_met(first, crowded)).distinct()
-        found = _links(stored(pairs, f"{at}/pairs"), feats, docs, n, percent, at)
+            near = Window.partitionBy("key", "salt").orderBy("rank", "id")
+            whole = Window.partitionBy("key").orderBy("rank", "id")
+            lead = crowded.where("first").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.xxhash64("id", "key"))
+            lead = lead.withColumn("_at", F.row_number().over(near)).where(F.col("_at") <= leaders)
+            lead = lead.withColumn("_at", F.row_number().over(whole)).where(F.col("_at") <= leaders)
+            lead = stored(lead.select(*mixed.columns), f"{at}/leaders")
+            pairs = pairs.union(_met(lead, crowded, percent))
+        found = _links(stored(pairs.distinct(), f"{at}/pairs"), feats, docs, n, percent, at)
         if not found.isEmpty():
             root = components(root.select(F.col("root").alias("a"), F.col("doc_id").alias("b")).union(found), f"{at}/comp")
         if not crowds:
             break
         if not leaders:
-            ids = crowded.select("id").distinct()
-            now = ids.join(root.withColumnRenamed("doc_id", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"))
-            members, leaders = _rarest(docs, now, n, percent, at).select("id", "key"), LEADERS
+            members, leaders = _rarest(docs, crowded.select("id").distinct(), n, percent, at), LEADERS
         else:
-            members, leaders = crowded.select("id", "key").join(first.select("id", "key"), ["id", "key"], "left_anti"), 2 * leaders
+            led = lead.select("id", "key", "place", F.lit(True).alias("_led")).distinct()
+            left = crowded.join(led, ["id", "key", "place"], "left").withColumn("first", F.col("first") & F.col("_led").isNull())
+            members, leaders = left.select(*columns), 8 * leaders
     out = feats.select("doc_id", "n_shingles").join(root, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))

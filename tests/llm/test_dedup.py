@@ -115,7 +115,10 @@ def test_prefixes_of_similar_sets_meet():
         if r.random() < 0.7:
             b = np.unique(np.r_[a[r.random(len(a)) < 0.93], b[: len(b) // 10], a[:1]])
         if mh.similar(a, b, 80):
-            assert len(np.intersect1d(mh.prefix(a, counts, 80), mh.prefix(b, counts, 80)))
+            (s, short), (l, _) = (mh.prefix(x, counts, 80) for x in sorted((a, b), key=len))
+            both = np.intersect1d(s[:short], l)
+            i, j = min((s.tolist().index(x), l.tolist().index(x)) for x in both)
+            assert 180 * min(min(len(a), len(b)) - i, max(len(a), len(b)) - j) >= 80 * (len(a) + len(b))
 
 
 def test_one_id_with_several_texts_links_all_of_them(spark):
