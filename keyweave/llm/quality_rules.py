@@ -98,7 +98,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int = 120, rate: float = 1.0, decay: float = 1e-5) -> Model:
-    """Full-batch Adam on the mean n-gram weights of (label, profile), then Platt scaling on a fifth of the rows held back.
+    """Full-batch Adam on the mean n-gram weights of (label, profile), then Platt scaling on a fifth of the rows held back;
+    rows are used up.
 
     Without rows, or with one label only, the model is that label's rate (one half without rows) for any text.
     """
@@ -111,6 +112,7 @@ def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int
     val = np.concatenate([share for _, (_, share, _) in rows])
     row = np.repeat(np.arange(len(rows)), [len(at) for _, (at, _, _) in rows])
     back = np.array([held for _, (_, _, held) in rows])
+    rows.clear()
     if len(set(labels[back].tolist())) < 2 or len(set(labels[~back].tolist())) < 2:
         back[:] = False
     teach = ~back
@@ -118,7 +120,7 @@ def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int
     w, bias = np.zeros(sum(sizes)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        score = np.bincount(row, val * w[col], len(rows)) + bias
+        score = np.bincount(row, val * w[col], len(labels)) + bias
         err = (_logistic(score) - labels) * weight
         g, gb = np.bincount(col, val * err[row], len(w)) + decay * w, err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -126,7 +128,7 @@ def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int
         a, b = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-6)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / b) + 1e-6)
-    score = np.bincount(row, val * w[col], len(rows)) + bias
+    score = np.bincount(row, val * w[col], len(labels)) + bias
     use = back if back.any() else teach
     slope, shift = 1.0, 0.0
     pos, neg = labels[use].sum(), (1 - labels[use]).sum()
@@ -150,8 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Mode
     """
     rows = labelled(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), labels, most).select("doc_id", "quality", "text")
     found = rows.mapInArrow(_profiles, "doc_id long, quality int, at binary, share binary, held boolean").collect()
-    got = sorted((r.doc_id, r.quality, bytes(r["at"]), bytes(r["share"]), r.held) for r in found)
-    return fit([(q, (np.frombuffer(at, np.int32), np.frombuffer(share, np.float32), held)) for _, q, at, share, held in got])
+    found.sort(key=lambda r: (r.doc_id, r.quality), reverse=True)
+    teach = []
+    while found:  # each row goes as soon as its arrays are there
+        r = found.pop()
+        teach.append((r.quality, (np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32), r.held)))
+    return fit(teach)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ LETTER, DIGIT, SPACE, OTHER, NEW = range(5)
 #: Contraction tails that end a word of their own behind an apostrophe (fixed by the byte-level format).
 TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters taken at once, bytes of the cache of words, and the longest word kept there. All only bound memory.
-CHUNK_CHARS, CACHE_BYTES, CACHED_CHARS = 1 << 19, 40 << 20, 64
+CHUNK_CHARS, CACHE_BYTES, CACHED_CHARS = 1 << 18, 24 << 20, 64
 #: Weights of a word's characters in its 64-bit hash, by position; what the hash finds equal is compared.
 WEIGHTS = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
