@@ -31,6 +31,7 @@ class Resources:
     writable: Callable[[], bool] = lambda: True
     lock_held: Callable[[], bool] = lambda: True
     drifted: Callable[[], bool] = lambda: False
+    lag: Callable[[], float] | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -124,6 +125,19 @@ def privileges(r: Resources) -> None:
     _need(r.writable(), "the table's folder cannot be written")
 
 
+@check("preflight")
+@check("post_setup")
+def replica_health(r: Resources) -> None:
+    """Where a replica's lag is watched, it must answer with a number; one that doesn't replicate has none."""
+    if r.lag is None:
+        return
+    try:
+        seconds = r.lag()
+    except Exception as e:
+        raise CheckFailed(f"the replica's lag cannot be read: {e}") from e
+    _need(seconds is not None and seconds >= 0, "the replica does not replicate")
+
+
 @check("cutover")
 def lock(r: Resources) -> None:
     _need(r.lock_held(), "another run has taken the table's lock")

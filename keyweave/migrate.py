@@ -137,7 +137,8 @@ class Migration:
         """Returns how it was done: metadata or copy."""
         resources = checks.Resources(
             table=self.table, threads=self.threads, target_chunk_s=self.target_chunk_s, spark_version=self.store.spark.version, writable=self.store.writable,
-            change_columns=tuple(self.changes(self.position).columns) if self.changes else checks.Resources.change_columns, lock_held=self.store.held, drifted=self._drifted)
+            change_columns=tuple(self.changes(self.position).columns) if self.changes else checks.Resources.change_columns, lock_held=self.store.held, drifted=self._drifted, lag=getattr(self.throttle, "lag", None),
+            max_lag_s=getattr(self.throttle, "limit_s", checks.Resources.max_lag_s))
         checks.run("prerun", resources)
         self.resources, self.statement = resources, parse(self.sql)
         resources.statement = self.statement

@@ -51,6 +51,18 @@ def test_checks_name_the_refusing_one():
         checks.run("cutover", checks.Resources(lock_held=lambda: False))
 
 
+def test_a_watched_replica_must_tell_its_lag():
+    def broken():
+        raise OSError("no answer")
+
+    for lag in (broken, lambda: None, lambda: -1.0, lambda: float("nan")):
+        for scope in ("preflight", "post_setup"):
+            with pytest.raises(checks.CheckFailed, match="replica_health"):
+                checks.run(scope, checks.Resources(parse("ALTER TABLE t ADD x INT"), lag=lag))
+    for lag in (None, lambda: 0.0, lambda: 1e6):  # a slow replica closes the throttle, it is not ill
+        assert "replica_health" in checks.run("preflight", checks.Resources(parse("ALTER TABLE t ADD x INT"), lag=lag))
+
+
 def test_metrics_and_throttle():
     class Broken:
         def send(self, metrics):
