@@ -14,29 +14,55 @@ from keyweave.llm.training import labelled
 TRAINING_ROWS = 10_000
 TREES, DEPTH, LEAST = 40, 3, 8
 LASSO = 0.002
+#: White space of the patterns, and characters of a text whose words or lines are listed at once.
+SPACES, PART = " \t\n\x0b\f\r", 1 << 21
+
+
+def distinct_pieces(t: Column, between: str, other: str) -> Column:
+    """64-bit hashes of the distinct pieces of a long text, which `between` (a regex) splits; `other` is a character of no separator.
+
+    Only the pieces of one part exist at a time. A part reaches on to the next separator, which the next part loses.
+    One that ends within a run of white space has an empty piece there, which is none of the text's.
+    """
+    parts = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART}}}+{other}*+"), F.lit(0))
+    whole = lambda part, i: F.when(i == 0, part).otherwise(F.regexp_replace(part, f"^{between}", ""))
+    pieces = lambda part, i: F.array_distinct(F.transform(F.split(whole(part, i), between), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.flatten(F.transform(parts, pieces)))
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text, each a JVM expression over the whole of it. Null counts as empty."""
+    """Named statistics of a text, each a JVM expression over the whole of it. Null counts as empty.
+
+    What is counted is the length of a text from which all else is cut, so that a long text makes no object for each
+    match. Pieces are listed only of texts of at most PART characters; longer ones have theirs part by part.
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    words = F.greatest(count(r"\S+"), F.lit(1.0))
-    lines = F.split(t, "\n")
-    tokens = F.split(F.lower(t), r"\s+")
+    chars = F.length(t)
+    n = F.greatest(chars, F.lit(1)).cast("double")
+    count = lambda other: F.length(F.regexp_replace(t, F.lit(other), F.lit(""))).cast("double")
+    start = F.ltrim(t, F.lit(SPACES))  # each word and the white space after it become a mark
+    n_words = F.length(F.regexp_replace(start, F.lit(r"\S+\s*"), F.lit("x")))
+    again = F.length(F.regexp_replace(start, F.lit(r"(?=(\S++)\s++\1(?!\S))(\S)\S*\s*|\S+\s*"), F.lit("$2")))
+    words = F.greatest(n_words.cast("double"), F.lit(1.0))
+    n_lines = F.length(F.regexp_replace(t, F.lit("[^\n]+"), F.lit(""))) + 1
+    ends = (F.length(start) < chars).cast("int") + (F.length(F.rtrim(t, F.lit(SPACES))) < chars).cast("int")
+    short = F.when(chars <= PART, t)
+    lines = F.split(short, "\n")
+    tokens = F.split(F.lower(short), r"\s+")  # with an empty one before white space that starts a text, or after one that ends it
+    n_distinct = F.size(F.array_remove(distinct_pieces(F.lower(t), r"\s+", r"\S"), F.xxhash64(F.lit("")))) + (ends > 0).cast("int")
     return {
-        "log_chars": F.log1p(F.length(t).cast("double")),
+        "log_chars": F.log1p(chars.cast("double")),
         "word_length": n / words,
-        "upper": count(r"\p{Lu}") / n,
-        "symbol": count(r"[#*$%&|<>@^~{}_=+\\/\[\]]") / n,
-        "pipe": count(r"\|") / words,
-        "bang": count(r"[!?]") / words,
-        "digit": count(r"[0-9]") / n,
-        "stops": count(r"[.,;:]") / words,
-        "same_word": count(r"(?<!\S)(\S+)(?=\s+\1(?!\S))") / words,
-        "distinct": F.size(F.array_distinct(tokens)) / F.size(tokens),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "line_chars": F.log1p(n / F.size(lines)),
+        "upper": count(r"\P{Lu}+") / n,
+        "symbol": count(r"[^#*$%&|<>@^~{}_=+\\/\[\]]+") / n,
+        "pipe": count(r"[^|]+") / words,
+        "bang": count(r"[^!?]+") / words,
+        "digit": count(r"[^0-9]+") / n,
+        "stops": count(r"[^.,;:]+") / words,
+        "same_word": again.cast("double") / words,
+        "distinct": F.coalesce(F.array_size(F.array_distinct(tokens)) / F.array_size(tokens), n_distinct / (n_words + ends)),
+        "distinct_lines": F.coalesce(F.array_size(F.array_distinct(lines)) / F.array_size(lines), F.size(distinct_pieces(t, "\n", "[^\n]")) / n_lines),
+        "line_chars": F.log1p(n / n_lines),
     }
 
 
@@ -110,11 +136,13 @@ class Ensemble:
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
     """Boost short trees on halves of the rows, take all their paths as rules, keep those the lasso keeps.
 
-    With one class, or none, the ensemble is its rate (one half without rows) for any text.
+    With one class, or none, or rows too few or too alike for any rule, the ensemble is the rate of quality 1 (one half
+    without rows) for any text.
     """
+    rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
+    constant = Ensemble(float(np.log(rate / (1 - rate))), [])
     if len(set(y.tolist())) < 2:
-        rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Ensemble(float(np.log(rate / (1 - rate))), [])
+        return constant
     rng = np.random.default_rng(seed)
     z = np.zeros(len(y))
     rules: dict[Rule, bytes] = {}
@@ -133,6 +161,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
         if key not in seen or len(rule) < len(seen[key]):
             seen[key] = rule
     listed = list(seen.values())
+    if not listed:
+        return constant
     r = np.stack([fires(rule, x) for rule in listed], 1).astype(np.float64)
     w, bias = _lasso(r, y)
     return Ensemble(bias, [(rule, float(c)) for rule, c in zip(listed, w, strict=True) if c != 0.0])

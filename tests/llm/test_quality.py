@@ -111,3 +111,51 @@ def test_without_labels_and_rows(spark):
         assert all(0 <= r.score <= 1 for r in re_.scored(docs, re_.train(docs, none)).collect())
         assert len({r.probability for r in qr.judged(docs, qr.train(docs, none)).collect()}) == 1
     assert re_.scored(docs.limit(0), re_.train(docs, lab)).count() == qr.judged(docs.limit(0), qr.train(docs, lab)).count() == 0
+
+
+def test_statistics_by_parts_are_those_of_whole_texts(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["", " ", "\n\n", " a  A a\n\na ", "x \n", "漢 漢 😀\n😀", None] + ["".join(r.choice("aAb \n\t|!.1漢😀") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    cols = lambda: [c.alias(k) for k, c in re_.statistics(F.col("text")).items()]
+    whole = {x.id: x for x in rows.select("id", *cols()).collect()}
+    monkeypatch.setattr(re_, "PART", 3)
+    assert {x.id: x for x in rows.select("id", *cols()).collect()} == whole
+    import re
+
+    for i, t in enumerate(t or "" for t in texts):
+        words, lines = re.findall(r"[^ \t-\r]+", t), t.split("\n")
+        tokens = re.split(r"[ \t-\r]+", t.lower())
+        n = max(len(words), 1)
+        got = whole[i]
+        assert got.word_length == max(len(t), 1) / n and got.upper == t.count("A") / max(len(t), 1) and got.pipe == t.count("|") / n
+        assert got.same_word == sum(a == b for a, b in zip(words, words[1:])) / n
+        assert got.distinct == len(set(tokens)) / len(tokens) and got.distinct_lines == len(set(lines)) / len(lines)
+
+
+def test_a_long_text_fits_a_small_heap():
+    """30 million characters in 900 MB, where an object for each capital does not fit."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from keyweave.llm import rule_ensemble
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.range(1).select(F.concat(F.repeat(F.lit("ABCDEFG H\\n"), 3_000_000), F.col("id").cast("string")).alias("text"))
+r = rows.select(*[c.alias(k) for k, c in rule_ensemble.statistics(F.col("text")).items()]).first()
+assert abs(r.upper - 0.8) < 1e-6 and r.distinct == 3 / 6_000_001 and r.distinct_lines == 2 / 3_000_001, r
+print("done")
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 900m pyspark-shell", "SPARK_LOCAL_IP": "127.0.0.1"}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    got = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "done" in got.stdout, got.stderr[-2000:]
+
+
+@pytest.mark.parametrize("n, x", [(10, np.arange(120.0).reshape(10, 12)), (100, np.ones((100, 12)))])
+def test_rows_without_a_rule_give_their_rate(n, x):
+    model = re_.fit(x, np.array([0.0, 1.0, 1.0, 1.0, 1.0] * (n // 5)))
+    assert model.rules == [] and model.score(x) == pytest.approx([(0.8 * n + 1) / (n + 2)] * n)
