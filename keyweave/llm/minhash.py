@@ -323,8 +323,8 @@ def _rarest(docs: DataFrame, crowd: DataFrame, n: int, percent: int, base: str)
 
     sketch = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(COUNTERS, np.int64)
-    found = sketch.toPandas()
-    counts[found["slot"]] = found["n"]
+    found = sketch.toArrow()  # Arrow, as a Python row for each counter would fill the driver
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ from keyweave.llm.training import labelled
 WORD_BITS, CHAR_BITS = 17, 15
 #: Labelled rows that teach at most (a documented bound; everything is scored).
 TRAINING_ROWS = 3000
+#: Buckets of training rows that fit() takes at once; only bounds memory.
+PART = 1 << 17
 #: A document that passes the counts is kept if its calibrated probability of quality 1 reaches this.
 THRESHOLD = 0.5
 BLANKS, SYMBOLS = b" \t\n\r\x0b\f", b"#*$%&|<>"
@@ -110,9 +112,17 @@ def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int
         return Model(np.zeros(sizes[0], np.float32), np.zeros(sizes[1], np.float32), 0.0, 0.0, float(np.log(rate1 / (1 - rate1))))
     col = np.concatenate([at for _, (at, _, _) in rows])
     val = np.concatenate([share for _, (_, share, _) in rows])
-    row = np.repeat(np.arange(len(rows)), [len(at) for _, (at, _, _) in rows])
+    size = np.array([len(at) for _, (at, _, _) in rows])
     back = np.array([held for _, (_, _, held) in rows])
     rows.clear()
+    ends = np.cumsum(size)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PART, len(col), PART)), len(size)]).tolist()
+    parts = [(a, b, slice(int(ends[a] - size[a]), int(ends[b - 1]))) for a, b in zip(cuts, cuts[1:])]
+
+    def scores() -> np.ndarray:
+        each = [np.bincount(np.repeat(np.arange(b - a), size[a:b]), val[at] * w[col[at]], b - a) for a, b, at in parts]
+        return np.concatenate(each) + bias
+
     if len(set(labels[back].tolist())) < 2 or len(set(labels[~back].tolist())) < 2:
         back[:] = False
     teach = ~back
@@ -120,15 +130,17 @@ def fit(rows: list[tuple[int, tuple[np.ndarray, np.ndarray, bool]]], rounds: int
     w, bias = np.zeros(sum(sizes)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        score = np.bincount(row, val * w[col], len(labels)) + bias
-        err = (_logistic(score) - labels) * weight
-        g, gb = np.bincount(col, val * err[row], len(w)) + decay * w, err.sum()
+        err = (_logistic(scores()) - labels) * weight
+        g, gb = np.zeros(len(w)), err.sum()
+        for a, b, at in parts:
+            np.add.at(g, col[at], val[at] * np.repeat(err[a:b], size[a:b]))
+        g += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-6)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / b) + 1e-6)
-    score = np.bincount(row, val * w[col], len(labels)) + bias
+    score = scores()
     use = back if back.any() else teach
     slope, shift = 1.0, 0.0
     pos, neg = labels[use].sum(), (1 - labels[use]).sum()
@@ -151,12 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Mode
     Profiles are made where the rows are, so what reaches the driver is bounded in rows and in bytes of each.
     """
     rows = labelled(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), labels, most).select("doc_id", "quality", "text")
-    found = rows.mapInArrow(_profiles, "doc_id long, quality int, at binary, share binary, held boolean").collect()
-    found.sort(key=lambda r: (r.doc_id, r.quality), reverse=True)
-    teach = []
-    while found:  # each row goes as soon as its arrays are there
-        r = found.pop()
-        teach.append((r.quality, (np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32), r.held)))
+    found = rows.mapInArrow(_profiles, "doc_id long, quality int, at binary, share binary, held boolean").toArrow()
+    order = np.lexsort((found["quality"].to_numpy(), found["doc_id"].to_numpy())).tolist()
+    label, held = found["quality"].to_pylist(), found["held"].to_pylist()
+    # Views of the Arrow buffers that Spark streamed, without a row object or a copy on the way.
+    at, share = ([np.frombuffer(x.as_buffer(), kind) for x in found[c]] for c, kind in (("at", np.int32), ("share", np.float32)))
+    teach = [(label[i], (at[i], share[i], held[i])) for i in order]
+    del found, at, share
     return fit(teach)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -239,3 +240,14 @@ def test_even_lookup_and_bitmap(spark):
     ids = spark.createDataFrame([(3,), (-5,), (2**40,)], "x long")
     kept = {r.id for r in prefiltered(spark.createDataFrame([(i,) for i in [*range(1000), -5, 2**40]], "id long"), "id", ids).collect()}
     assert {3, -5, 2**40} <= kept and len(kept) < 20
+
+
+def test_shingle_sketch_stays_small_on_the_driver(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(str(r.random()) for _ in range(500))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) AS text")
+    tracemalloc.start()
+    got = mh._rarest(df, df.selectExpr("doc_id AS id"), 4, 80, f"file://{tmp_path}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and got.count() == sum(len(mh.prefix(mh.shingle_set(t.encode().split(), 4), np.zeros(mh.COUNTERS, np.int64), 80)[0]) for _, t in rows)

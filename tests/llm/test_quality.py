@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -51,6 +52,26 @@ def test_profiles_are_bounded_and_tell_characters_apart():
     assert one != two and len(qr.profile("")[0]) == 0
 
 
+def test_fit_holds_little_beside_its_rows():
+    """The driver holds what it learns from once, and a part of it while it learns."""
+    r = np.random.default_rng(3)
+    each, n = 10_000, 200
+    rows = [(i % 2, (np.sort(r.choice(1 << 17, each, replace=False)).astype(np.int32), np.full(each, 1 / each, np.float32), i % 5 == 0)) for i in range(n)]
+    tracemalloc.start()
+    qr.fit(rows, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * each * n and not rows
+
+
+def test_fit_takes_rows_without_grams():
+    empty = qr.profile("")
+    some = qr.profile("a few words of some text")
+    assert qr.fit([(i % 2, empty) for i in range(9)]).probability(0.0) == pytest.approx(0.5, abs=0.1)
+    mixed = qr.fit([(0, empty), (0, empty), (1, some), (1, some), (0, empty)])
+    assert mixed.score("a few words of some text", qr.word_hashes(b"a few words of some text".split())) > mixed.score("", np.empty(0, np.uint64))
+
+
 def brute_counts(text):
     words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
