@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keyweave.llm import quality_rules, rule_ensemble
 from keyweave.llm.bpe import with_ids, with_text
 from keyweave.llm.chat import formatted, loss_texts, parsed
+from keyweave.llm.common import shared_dir
 from keyweave.llm.exact_dedup import exact_dedup
 from keyweave.llm.html_text import extracted
 from keyweave.llm.minhash import near_duplicates
 from keyweave.llm.packing import packed
-from keyweave.llm.simple8b import coded, digests
+from keyweave.llm.simple8b import read_digests, write_tokens
 from keyweave.llm.training import held_out
 from keyweave.llm.urls import judged, train as train_urls
 
@@ -93,7 +94,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(coded(_read(spark, sf_dir, "documents"), TOKENIZER))
+    path = f"{shared_dir(spark)}/tokens"
+    write_tokens(_read(spark, sf_dir, "documents"), path, TOKENIZER)
+    return read_digests(spark, path)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

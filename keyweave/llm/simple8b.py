@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyweave.llm.common import shared_dir
 from keyweave.llm.tokens import library_encoder
@@ -181,6 +181,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "start", "n_tokens", "ids"])
 
 
+def _read_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for read in _read(batches):
+        yield from _crc(iter([read]))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode whole texts (null: empty), append end_id to each, and write shards under path in ascending id order.
 
@@ -193,8 +198,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     ranged.mapInArrow(_write(tokenizer, end_id), _SHARD_DDL).write.mode("overwrite").parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the written documents; start counts all ids before the document.
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(first, payload) of the written shards, first counting all ids before the shard.
 
     A shard knows the ids of its part before it; those of earlier parts are a running sum over the parts' totals
     (one row for each written part, so a table bounded by the partition count, whatever the documents).
@@ -203,8 +208,12 @@ def read_tokens(spark, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("part").alias("_p"), before.alias("_before"))
-    placed = shards.join(F.broadcast(parts), F.col("part") == F.col("_p")).select((F.col("_before") + F.col("first")).alias("first"), "payload")
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids array<int>")
+    return shards.join(F.broadcast(parts), F.col("part") == F.col("_p")).select((F.col("_before") + F.col("first")).alias("first"), "payload")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the written documents; start counts all ids before the document."""
+    return _placed(spark, path).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +230,11 @@ def digests(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """digests(read_tokens(spark, path)), without the ids going through the JVM on the way."""
+    return _placed(spark, path).mapInArrow(_read_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def coded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write docs to the shared folder and read them back."""
     path = f"{shared_dir(docs.sparkSession)}/tokens"

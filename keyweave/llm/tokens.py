@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -300,13 +300,23 @@ _ENCODERS: dict[tuple, Encoder] = {}
 def library_encoder(path: str) -> Encoder:
     """An Encoder whose words are encoded by the tokenizers library's own model; one for each worker process."""
     if ("library", path) not in _ENCODERS:
-        model = library(path).model
-        shown = str.maketrans({chr(b): c for c, b in byte_chars().items()})
+        tokenize = library(path).model.tokenize
+        shown = np.zeros(256, "<u2")
+        for c, b in byte_chars().items():
+            shown[b] = ord(c)
+        between, number = chr(shown[0xFF]), attrgetter("id")
 
         def encode_words(words: list[str]) -> list[bytes]:
-            # A pre-tokenized word in the byte-level alphabet is what the library hands to its own model.
-            found = ([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(shown))] for w in words)
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+            # A pre-tokenized word in the byte-level alphabet is what the library hands to its own model. All words are put
+            # into that alphabet at once, with a byte between them that no text has in UTF-8.
+            raw = np.frombuffer("\udcff".join(words).encode("utf-8", "surrogateescape"), np.uint8)
+            ids: list[int] = []
+            ends = [0]
+            for word in shown[raw].tobytes().decode("utf-16-le").split(between) if words else ():
+                ids += map(number, tokenize(word))
+                ends.append(4 * len(ids))
+            flat = np.array(ids, "<u4").tobytes()
+            return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
         _ENCODERS["library", path] = Encoder(path, encode_words)
     return _ENCODERS["library", path]

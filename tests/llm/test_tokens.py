@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from keyweave.llm import bpe, packing, simple8b
+from keyweave.llm import bpe, packing, queries, simple8b
 from keyweave.llm.tokens import library_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -122,6 +122,22 @@ def test_token_files(spark, monkeypatch):
     assert simple8b.coded(df.limit(0), PATH).count() == 0
 
 
+def test_words_of_any_bytes_are_told_apart():
+    """Words go to the library's model together; none may swallow or lend what stands between them."""
+    words = ["\x00", "a\x00", "ÿ", "\xff\xfe", " \x00ÿ", "\uffff", "\U0010ffff", "ß", "the"]
+    encode = library_encoder(PATH).cache.encode_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(words)] == [LIB.encode(w, add_special_tokens=False).ids for w in words]
+    assert encode(words[:1]) == encode(words)[:1] and encode([]) == []
+
+
+def test_digests_of_files_need_one_pass(spark, tmp_path):
+    _, df = _docs(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_token_files(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, simple8b.digests(simple8b.coded(df, PATH)).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_token_files_of_null_ids(spark):
     df = spark.createDataFrame([(0, "zero"), (None, "the b"), (-5, "minus"), (None, "a")], "doc_id long, text string")
     for rows in (df, df.where("doc_id is null")):
