@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +15,8 @@ from keyweave.llm.training import labelled
 TRAINING_ROWS = 10_000
 TREES, DEPTH, LEAST = 40, 3, 8
 LASSO = 0.002
+#: Rules of an ensemble that are added up in compiled code.
+COMPILED = 128
 #: White space of the patterns, and characters of a text whose words or lines are listed at once.
 SPACES, PART = " \t\n\x0b\f\r", 1 << 21
 
@@ -122,14 +125,23 @@ class Ensemble:
         return _logistic(z)
 
     def column(self, prefix: str = "") -> Column:
-        """The score as one Spark expression over the statistics' columns."""
-        z = F.lit(self.bias)
+        """The score as one Spark expression over the statistics' columns.
+
+        Beyond COMPILED rules their weights are added up as items of an array, in the same order: a sum of sums would be as
+        deep as there are rules, and some hundreds of them overflow the planner's stack.
+        """
+        fired = []
         for rule, w in self.rules:
             hit = F.lit(True)
             for j, above, bound in rule:
                 c = F.col(prefix + NAMES[j])
                 hit = hit & ((c > bound) if above else (c <= bound))
-            z = z + F.when(hit, F.lit(w)).otherwise(F.lit(0.0))
+            fired.append(F.when(hit, F.lit(w)).otherwise(F.lit(0.0)))
+        bias = F.lit(self.bias)
+        if len(fired) > COMPILED:
+            z = F.aggregate(F.array(*fired), bias, lambda total, w: total + w)
+        else:
+            z = reduce(lambda total, w: total + w, fired, bias)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 

@@ -125,6 +125,18 @@ def test_compiled_rules_equal_the_model(spark):
     assert all(abs(want[r.doc_id] - r.score) < 1e-9 and 0 <= r.score <= 1 and r["_s_upper"] == 3 for r in got.collect())
 
 
+def test_hundreds_of_rules_are_one_shallow_expression(spark):
+    """As many rules as the trees can have: a sum nested in sums overflowed the planner's stack."""
+    rng = np.random.default_rng(3)
+    most = re_.TREES * (2 ** (re_.DEPTH + 1) - 2)
+    rules = [(tuple((int(rng.integers(len(re_.NAMES))), bool(rng.integers(2)), float(rng.random() * 4)) for _ in range(re_.DEPTH)), float(rng.normal() / 9)) for _ in range(most)]
+    model = re_.Ensemble(0.1, rules)
+    docs = spark.createDataFrame(corpus(40)[0], "doc_id long, text string")
+    x = {r[0]: np.array([r[1:]], float) for r in docs.select("doc_id", *[c.alias(k) for k, c in re_.statistics(F.col("text")).items()]).collect()}
+    got = {r.doc_id: r.score for r in re_.scored(docs, model).collect()}
+    assert got.keys() == x.keys() and all(abs(got[i] - model.score(v)[0]) < 1e-9 for i, v in x.items())
+
+
 def test_without_labels_and_rows(spark):
     rows, labels = corpus(20)
     docs, lab = frames(spark, rows, [(i, 1, 0) for i, _ in rows])
