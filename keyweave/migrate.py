@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from keyweave import checks
 from keyweave.metrics import NoopSink, NoThrottle, Progress, Sink, Throttle, chunk_metrics, report, wait_open
-from keyweave.functions.predicates import lexicographic
+from keyweave.functions.predicates import lexicographic, named
 from keyweave.model import Bound, Chunk, TableDef
 from keyweave.operators.backfill import EtaHistory, eta, progress
 from keyweave.operators.changes import TRIVIAL, apply_changes
@@ -67,9 +67,10 @@ def pass_through(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(found.text)
 
 
-#: Chunks of a copy at most (each is one job and one folder, so a large table has large ones), chunks that one comparison
-#: takes, passes of the comparison, seconds between flushes, and looks at the feed before a barrier is given up.
-MOST_CHUNKS, COMPARED, PASSES, FLUSH_S, BARRIER_WAITS = 256, 32, 3, 30.0, 60
+#: Chunks of a copy at most (each is one folder, so a large table has large ones), jobs of a copy at most, chunks that one
+#: comparison takes, passes of the comparison, seconds between flushes, and looks at the feed before a barrier is given up.
+#: A job of the copy or the comparison may have to read the whole source, so their numbers are bounded, too.
+MOST_CHUNKS, COPIES, COMPARED, PASSES, FLUSH_S, BARRIER_WAITS = 256, 16, 64, 3, 30.0, 60
 
 
 def chunk_plan(df: DataFrame, table: TableDef, size: int) -> list[Chunk]:
@@ -91,16 +92,36 @@ def chunk_plan(df: DataFrame, table: TableDef, size: int) -> list[Chunk]:
 
 
 def chunk_number(chunks: list[Chunk]) -> Column:
-    """The number of the chunk that a row's key lies in."""
-    return reduce(lambda n, c: n + lexicographic(c.key, c.lower.values, ">=").cast("int"), chunks[1:], F.lit(0))
+    """The number of the chunk that a row's key lies in, by bisection: a row meets few bounds of many.
+
+    Where the first column of a key tells, it alone is looked at, in little code, which the JVM can compile. Only rows whose
+    first value is one of the bounds' are told apart by all columns; that code is interpreted.
+    """
+    bounds = [c.lower.values for c in chunks[1:]]
+
+    def among(low: int, high: int, above: Callable[[int], Column], leaf: Callable[[int], Column]) -> Column:
+        if low == high:
+            return leaf(low)
+        at = (low + high) // 2
+        return F.when(above(at), among(at + 1, high, above, leaf)).otherwise(among(low, at, above, leaf))
+
+    key = chunks[0].key
+    exact = among(0, len(bounds), lambda i: lexicographic(key, bounds[i], ">="), F.lit)
+    if len(key) == 1 or not bounds:
+        return exact
+    firsts = list(dict.fromkeys(b[0] for b in bounds))
+    behind = [sum(b[0] in firsts[:n] for b in bounds) for n in range(len(firsts) + 1)]
+    rough = among(0, len(firsts), lambda i: named(key[0]) > F.lit(firsts[i]), lambda n: F.lit(behind[n]))
+    met = named(key[0]).isin([F.lit(v) for v in firsts])
+    return F.when(met, F.transform(F.array(F.lit(0)), lambda _: exact)[0]).otherwise(rough)
 
 
 @dataclass
 class Migration:
     """One ALTER of a stored table.
 
-    Chunks are copied, `threads` at a time, each by one job into a folder of its own; a manifest of these folders is the
-    new version. A checkpoint lists the finished ones, so a resumed run copies the others only. Between rounds of chunks
+    Chunks are copied into a folder each; a manifest of these folders is the new version. One job copies a chunk, or
+    several neighbours where there are more than COPIES, and `threads` jobs run at a time. A checkpoint lists the finished ones, so a resumed run copies the others only. Between rounds of chunks
     changes are flushed into finished chunks, whose folders alone are rewritten. Chunks not begun read the source as it
     is when they begin, so changes of their keys need no replay.
 
@@ -254,17 +275,42 @@ class Migration:
         report(self.sink, chunk_metrics(seconds, self.chunks[i].size, n))
         return n, seconds
 
+    def _inside(self, which: list[int]) -> Column:
+        """Keys from the first to the last of the chunks."""
+        return Chunk(self.table.key, self.chunks[which[0]].lower, self.chunks[which[-1]].upper).predicate()
+
+    def _copy_group(self, which: list[int]) -> tuple[int, float]:
+        """(rows, seconds) of neighbouring chunks, which one job copies from one read of the source."""
+        if len(which) == 1:
+            return self._copy_chunk(which[0])
+        wait_open(self.throttle)
+        began, seen = time.monotonic(), Observation(f"copy{uuid.uuid4().hex}")
+        number = F.lit(which[0]) + chunk_number([self.chunks[i] for i in which])
+        rows = project(self._source_now().where(self._inside(which)).withColumn("_chunk", number), self.new_table, keep=["_chunk"])
+        folder = f"{self.shadow}/chunk{which[0]:05d}-{uuid.uuid4().hex[:8]}"
+        found = self.store.write_parts(rows.observe(seen, F.count(F.lit(1)).alias("n")), "_chunk", folder)
+        n, seconds = seen.get["n"], time.monotonic() - began
+        self.parts.update(found)
+        report(self.sink, chunk_metrics(seconds, sum(self.chunks[i].size for i in which), n))
+        return n, seconds
+
     def _copy(self) -> None:
         self.state = State.COPY_ROWS
         self.expected = self.source.count()
         self.history, self.rates = EtaHistory(), [(time.monotonic(), self.copied)]
         todo = [i for i in range(len(self.chunks)) if i not in self.done]
+        each, groups = -(-len(self.chunks) // COPIES), []
+        for i in todo:
+            if i % each and groups and groups[-1][-1] == i - 1:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
         flushed = time.monotonic()
         with ThreadPoolExecutor(self.threads) as pool:
-            for at in range(0, len(todo), self.threads):
-                now = todo[at : at + self.threads]
-                self.copied += sum(n for n, _ in pool.map(self._copy_chunk, now))
-                self.done.update(now)
+            for at in range(0, len(groups), self.threads):
+                now = groups[at : at + self.threads]
+                self.copied += sum(n for n, _ in pool.map(self._copy_group, now))
+                self.done.update(i for which in now for i in which)
                 self.rates = [*self.rates[-1:], (time.monotonic(), self.copied)]
                 if self.changes and time.monotonic() - flushed >= self.flush_s:
                     self._flush()
@@ -338,12 +384,12 @@ class Migration:
         Finished groups are in the checkpoint, so that a resumed run goes on behind them.
         """
         columns = shared_columns(self.new_table.stored_columns, self.table.stored_columns)
-        number, self.passes = chunk_number(self.chunks), 1
+        self.passes = 1
         for at in range(self.compared, len(self.chunks), COMPARED):
             which = list(range(at, min(at + COMPARED, len(self.chunks))))
+            number = F.lit(at) + chunk_number([self.chunks[i] for i in which])
             for n in range(1, PASSES + 1):
-                inside = Chunk(self.table.key, self.chunks[which[0]].lower, self.chunks[which[-1]].upper).predicate()
-                wanted = project(self._source_now().where(inside), self.new_table)
+                wanted = project(self._source_now().where(self._inside(which)), self.new_table)
                 bad = [r[0] for r in diff_chunks(wanted, self._target(which), columns, number).where("not same").select("chunk_id").collect()]
                 self.passes = max(self.passes, n)
                 if not bad:

@@ -17,10 +17,11 @@ def shared_columns(source: Sequence[str], target: Sequence[str], generated: Sequ
     return [c for c in source if c in there]
 
 
-def project(df: DataFrame, target: TableDef, renamed: dict[str, str] | None = None) -> DataFrame:
+def project(df: DataFrame, target: TableDef, renamed: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """df in the target's shape: shared columns cast, new ones by default or null, generated ones recomputed.
 
-    Casts that fail give null here; lossy_rows reports them. Columns that only the source has are dropped.
+    Casts that fail give null here; lossy_rows reports them. Columns that only the source has are dropped, but for those
+    named in keep, which come last.
     """
     back = {new: old for old, new in (renamed or {}).items()}
     have = dict(df.dtypes)
@@ -31,10 +32,10 @@ def project(df: DataFrame, target: TableDef, renamed: dict[str, str] | None = No
         old = back.get(f.name, f.name)
         value = named(old).try_cast(f.dataType) if old in have else F.lit(target.defaults.get(f.name)).cast(f.dataType)
         out.append(value.alias(f.name))
-    made = df.select(*out)
+    made = df.select(*out, *keep)
     for name, expr in target.generated.items():
         made = made.withColumn(name, F.expr(expr).cast(target.schema[name].dataType))
-    return made.select(*[named(c) for c in target.schema.names])
+    return made.select(*[named(c) for c in target.schema.names], *keep)
 
 
 def is_lossy(col: str, old: T.DataType, new: T.DataType, longest: int | None = None) -> Column:

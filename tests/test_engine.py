@@ -238,6 +238,66 @@ def test_composite_key_migrates_with_changes(spark):
     assert [Chunk.from_json(c.to_json()) for c in m.chunks] == m.chunks
 
 
+@pytest.mark.parametrize("key", [("a", "b"), ("t",)])
+def test_many_chunks_take_few_reads_of_the_source(spark, monkeypatch, key):
+    """One job copies several neighbours, changes between rounds come in, and a killed copy goes on behind its rounds."""
+    rows = spark.range(1000).selectExpr("id % 7 AS a", "id AS b", "concat('k', id) AS t", "id AS v")
+    log = rows.where("v % 100 = 0").selectExpr("v AS seq", "struct(a, b) AS key" if len(key) == 2 else "t AS key", "v = 300 AS is_delete")
+    live = rows.where("v <> 300").selectExpr("a", "b", "t", "if(v % 100 = 0, -v, v) AS v")
+    want = sorted(-i if i % 100 == 0 else i for i in range(1000) if i != 300)
+
+    def make(s):
+        return Migration(s, TableDef("t", rows.schema, key), "ALTER TABLE t ADD COLUMN w INT DEFAULT 3", lambda p: log.where(f"seq > {p}"), lambda: live, chunk_size=12, flush_s=0)
+
+    read, reads, copy = Migration._source_now, [], Migration._copy
+
+    def counted(self):
+        monkeypatch.setattr(Migration, "_source_now", lambda self: reads.append(1) or read(self))
+        monkeypatch.setattr(Migration, "_flush", lambda self: 0)
+        copy(self)
+        monkeypatch.undo()
+
+    monkeypatch.setattr(Migration, "_copy", counted)
+    s = Store(spark, scratch(spark))
+    s.swap(s.write(rows))
+    m = make(s)
+    m.run()
+    assert len(m.chunks) == 77 and len(reads) <= 16 and m.copied == 999
+    assert sorted(r.v for r in s.read().collect()) == want and {r.w for r in s.read().collect()} == {3}
+
+    s = Store(spark, scratch(spark))
+    s.swap(s.write(rows))
+    save, saves = Migration._save, []
+
+    def dies(self):
+        save(self)
+        saves.append(len(self.done))
+        if len(saves) == 3:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(Migration, "_save", dies)
+    with pytest.raises(KeyboardInterrupt):
+        make(s).run()
+    monkeypatch.undo()
+    assert 0 < saves[-1] < 77
+    m = make(s)
+    m.run()
+    assert m.resumed and m.passes == 1 and sorted(r.v for r in s.read().collect()) == want
+
+
+def test_chunk_numbers_of_bounds_with_equal_first_values(spark):
+    from keyweave.migrate import chunk_number
+    from keyweave.model import Bound
+
+    rows = spark.range(600).selectExpr("id div 60 AS a", "concat('k', id % 60) AS b", "id % 5 AS c")
+    at = sorted({(r.a, r.b, r.c + d) for r in rows.where("c = 3 and a in (2, 3, 9)").collect() for d in (-1, 0)})
+    edges = [None, *at, None]
+    chunks = [Chunk(("a", "b", "c"), x and Bound(x), y and Bound(y, False)) for x, y in zip(edges, edges[1:])]
+    for r in rows.withColumn("n", chunk_number(chunks)).collect():
+        assert r.n == sum(x <= (r.a, r.b, r.c) for x in at)
+    assert {r.n for r in rows.select(chunk_number(chunks[:1]).alias("n")).collect()} == {0}
+
+
 def test_streams_do_not_take_each_others_batches(spark, tmp_path):
     from keyweave.streaming.apply import apply_stream, stateful_last_op
 
