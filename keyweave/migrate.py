@@ -345,7 +345,7 @@ class Migration:
         if touched:
             unique = [self.new_table.indexes[u] for u in sorted(self.new_table.unique)]
             which = sorted(self.done) if unique else touched  # a row may displace one of any chunk
-            source = self._source_now()
+            source = self._source_now().where(self._inside(touched))
             if len(touched) <= 16:
                 source = source.where(reduce(lambda a, b: a | b, [self.chunks[i].predicate() for i in touched]))
             mine = changed.where(F.col("_chunk").isin(touched)).drop("_chunk")
